@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, scratch_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
+def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sstable import digest_shards, write_shards
+
+    path = scratch_path(spark, "shards")
+    write_shards(read_table(spark, sf_dir, "documents"), path)
+    return digest_shards(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op3_pii": op3_pii, "op9_sstable": op9_sstable}
 
 
 def oracle_sql() -> dict[str, str]:

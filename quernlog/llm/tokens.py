@@ -65,7 +65,7 @@ class TextTokenizer:
     bytes of their ids, or by ids that end words; all others alone.
     """
 
-    def __init__(self, path: str, space_led: bool, remembered: int = 400_000):
+    def __init__(self, path: str, space_led: bool, remembered: int = 1_200_000):
         worker_setup()
         from tokenizers import Tokenizer
 
@@ -147,3 +147,13 @@ class TextTokenizer:
         lengths = self.length[own]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return self.flat[ranges(self.start[own], lengths)], ends[piece_of_text]
+
+
+_LOADED: dict[tuple[str, bool], TextTokenizer] = {}
+
+
+def text_tokenizer(path: str, space_led: bool) -> TextTokenizer:
+    """The tokenizer of this worker process, with what it remembers from earlier tasks."""
+    if (path, space_led) not in _LOADED:
+        _LOADED[path, space_led] = TextTokenizer(path, space_led)
+    return _LOADED[path, space_led]
