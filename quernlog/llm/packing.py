@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import text_chunks
-from .tokens import TextTokenizer, tokenizer_path
+from .tokens import text_tokenizer, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -97,7 +97,7 @@ def pack_lengths(lengths: np.ndarray, size: int, linear: float, quadratic: float
 
 def packer(path: str, size: int, end_id: int, linear: float, quadratic: float, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = TextTokenizer(path, space_led=True)
+        tokenizer = text_tokenizer(path, space_led=True)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         used = 0
