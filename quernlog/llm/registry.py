@@ -29,8 +29,14 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_shards(spark, path)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_pii": op3_pii, "op9_sstable": op9_sstable}
+    return {"op1_packing": op1_packing, "op3_pii": op3_pii, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
