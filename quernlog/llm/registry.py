@@ -15,6 +15,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
@@ -36,7 +42,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_pii": op3_pii, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
+    return {"op1_packing": op1_packing, "op2_embeddings": op2_embeddings, "op3_pii": op3_pii, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
