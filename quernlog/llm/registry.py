@@ -33,6 +33,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import digest_shards, write_shards
 
@@ -48,7 +54,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embeddings": op2_embeddings, "op3_pii": op3_pii, "op4_quality": op4_quality, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
+    return {"op1_packing": op1_packing, "op2_embeddings": op2_embeddings, "op3_pii": op3_pii, "op4_quality": op4_quality, "op6_toxicity": op6_toxicity, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
