@@ -37,7 +37,7 @@ RESTART = 16
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Text bytes that one shard is meant to hold.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 _INDEX = struct.Struct("<9sQII")
 _FOOTER = struct.Struct("<QIQIQQHI8s")  # index offset and length, filter offset and length, documents, ids, id width, checksum, magic
 
@@ -188,7 +188,7 @@ class ShardReader:
 
 def _writer(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = text_tokenizer(path, space_led=False)
+        tokenizer = text_tokenizer(path, space_led=False, remembered=300_000)
         width = 2 if len(tokenizer.weight) <= 1 << 16 else 4
         shard, any_ = ShardWriter(width), False
         for chunk in text_chunks(batches):
@@ -283,6 +283,6 @@ def digest_shards(spark: SparkSession, path: str) -> DataFrame:
     from .common import stored
 
     read = stored(_shards(spark, path).mapInArrow(digest, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"), "digest")
-    # One row a shard of some 16 MB.
+    # One row a shard of some MB.
     before = read.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))
     return read.join(before, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")

@@ -152,8 +152,8 @@ class TextTokenizer:
 _LOADED: dict[tuple[str, bool], TextTokenizer] = {}
 
 
-def text_tokenizer(path: str, space_led: bool) -> TextTokenizer:
+def text_tokenizer(path: str, space_led: bool, remembered: int = 1_200_000) -> TextTokenizer:
     """The tokenizer of this worker process, with what it remembers from earlier tasks."""
     if (path, space_led) not in _LOADED:
-        _LOADED[path, space_led] = TextTokenizer(path, space_led)
+        _LOADED[path, space_led] = TextTokenizer(path, space_led, remembered)
     return _LOADED[path, space_led]
