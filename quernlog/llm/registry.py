@@ -33,6 +33,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "mix_epoch", "mix_turn", "mix_place", "mix_tokens", "mix_weight")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -60,8 +66,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embeddings": op2_embeddings, "op3_pii": op3_pii, "op4_quality": op4_quality, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
+    return {"op1_packing": op1_packing, "op2_embeddings": op2_embeddings, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op5_mixing": mixing.SQL}
