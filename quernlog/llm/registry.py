@@ -51,6 +51,12 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import digest_shards, write_shards
 
@@ -66,7 +72,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_embeddings": op2_embeddings, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
+    return {"op1_packing": op1_packing, "op2_embeddings": op2_embeddings, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_lm": op8_lm, "op9_sstable": op9_sstable, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
