@@ -6,9 +6,11 @@
 3. Group: sets that survive are linked to the first of those with which they share a minimum hash,
    where their Jaccard similarity holds; components of such links are the first groups.
 4. Prune again: only tokens held by sets of *other* groups count now.  Sets left are few.
-5. Token-group matrix: groups are cut into blocks of about 64 sets, each with the union of its tokens.
-   A query set meets the blocks that hold one of its rarest tokens; the overlap with the union bounds
-   its similarity to every member, and only blocks that pass are opened and their members compared.
+5. Token-group matrix: sets left that share one of their rarest tokens make families, cut into groups
+   of bounded size, each with the union of its tokens.  Every two groups of a family are one tile; a
+   set's overlap with the other group's union bounds its similarity to all members there, and only
+   sets that pass are opened, as a product of 0/1 matrices.  A tile returns links that connect what is
+   similar, never all pairs.
 
 Steps 2 and 4 drop only what provably has no (further) partner, so all links between different
 groups are found and components are exact.  Links inside one group need not be enumerated.
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import encode_slices, flat_text, mixed, ranges, stored, text_chunks, word_slices
 from .components import connected_components
+from .embeddings import joined
 
 #: Entries that one bucket of the prune is meant to hold; rows that a broadcast may hold.
 BUCKET_ENTRIES, BROADCAST_ROWS = 1_000_000, 2_000_000
-BLOCK = 64
+#: Tokens that a group of the matrix is meant to hold.
+BLOCK_TOKENS = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MARK = 65535
 
@@ -257,27 +261,94 @@ def _first_links(sets: DataFrame, percent: int, seeds: range) -> DataFrame:
     return _verified(pairs, sets, percent)
 
 
+def _pack(key: tuple, table: pa.Table) -> pa.Table:
+    n = table.column("n").to_numpy()
+    head = np.concatenate([table.column("doc").to_numpy(), table.column("grp").to_numpy(), n]).astype(np.int64)
+    raw = head.tobytes() + table.column("tokens").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes()
+    return pa.table({"family": key[0:1], "blk": key[1:2], "x": pa.array([raw], pa.binary()), "sets": pa.array([len(n)], pa.int64())})
+
+
+class _Group:
+    """A block of similar sets: its row of the token-group matrix is ``union``."""
+
+    def __init__(self, raw: bytes, sets: int):
+        head = np.frombuffer(raw, np.int64, 3 * sets)
+        self.docs, self.groups, self.n = head[:sets], head[sets : 2 * sets], head[2 * sets :]
+        self.tokens = np.frombuffer(raw, np.uint64, offset=24 * sets)
+        self.owner = np.repeat(np.arange(sets), self.n)
+        self.union = np.unique(self.tokens)
+
+    def overlap(self, union: np.ndarray) -> np.ndarray:
+        """Each set's overlap with a union: no member of that group can share more."""
+        at = np.minimum(np.searchsorted(union, self.tokens), max(len(union) - 1, 0))
+        return np.bincount(self.owner[union[at] == self.tokens] if len(union) else [], minlength=len(self.n))
+
+
+def open_groups(one: _Group, two: _Group, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Similar pairs of sets in different groups: members of ``one`` and of ``two``."""
+    rows, cols = (np.flatnonzero(a.overlap(b.union) * 100 >= a.n * percent) for a, b in ((one, two), (two, one)))
+    if not len(rows) or not len(cols):
+        return
+    both = np.intersect1d(one.union, two.union, assume_unique=True)
+    shared = np.zeros((len(rows), len(cols)), np.float32)
+    places = []
+    for g, chosen in ((one, rows), (two, cols)):
+        at = np.minimum(np.searchsorted(both, g.tokens), len(both) - 1)
+        place = np.full(len(g.n), -1)
+        place[chosen] = np.arange(len(chosen))
+        use = (both[at] == g.tokens) & (place[g.owner] >= 0)
+        places.append((place[g.owner[use]], at[use]))
+    for t in range(0, len(both), 8192):
+        parts = []
+        for (row, at), chosen in zip(places, (rows, cols), strict=True):
+            use = (at >= t) & (at < t + 8192)
+            m = np.zeros((len(chosen), min(8192, len(both) - t)), np.float32)
+            m[row[use], at[use] - t] = 1
+            parts.append(m)
+        shared += parts[0] @ parts[1].T
+    total = one.n[rows][:, None] + two.n[cols][None, :] - shared
+    i, j = np.nonzero((shared * 100 >= total * percent) & (one.groups[rows][:, None] != two.groups[cols][None, :]))
+    if len(i):
+        yield rows[i], cols[j]
+
+
+def _tiles(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same, n, m, x, y = (batch.column(c)[k] for c in ("same", "n", "m", "x", "y"))
+                one = _Group(x.as_buffer(), n.as_py())
+                two = one if same.as_py() else _Group(y.as_buffer(), m.as_py())
+                shift = 0 if same.as_py() else len(one.n)
+                labels = np.arange(shift + len(two.n))
+                for a, b in open_groups(one, two, percent):
+                    labels = joined(labels, a, b + shift)
+                docs = one.docs if same.as_py() else np.concatenate([one.docs, two.docs])
+                moved = np.flatnonzero(labels != np.arange(len(labels)))
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[moved]), pa.array(docs[labels[moved]])], names=["a", "b"])
+
+    return work
+
+
 def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Every link between sets of different groups, by blocks of groups (step 5)."""
-    sizes = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-    blocks = stored(sets.join(sizes, "grp").select("doc", "grp", "n", "tokens", F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / BLOCK)).alias("blk")), "blocks")
-    flat = blocks.select("doc", "grp", "blk", "n", F.explode("tokens").alias("t"))
-    held = flat.groupBy("t", "grp", "blk").agg(F.count(F.lit(1)).alias("c"))
-    shared = held.groupBy("t").agg(F.sum("c").alias("df"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("t", "df")
+    """Links that connect sets of different groups wherever such sets are similar (step 5)."""
+    flat = sets.select("doc", "grp", "n", F.explode("tokens").alias("t"))
+    shared = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("t", "df")
     # A set's rarest n - needed + 1 tokens; those that no other group holds come first, and find nothing.
-    found = flat.join(shared, "t").groupBy("doc", "grp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    found = flat.join(shared, "t").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    rare = found.where(spare > 0).select("doc", "grp", F.explode(F.slice("s", F.lit(1), spare.cast("int"))).alias("x")).select("doc", "grp", F.col("x.t").alias("t"))
-    meets = rare.join(held.select("t", F.col("grp").alias("g2"), F.col("blk").alias("b2")), "t").where("grp <> g2").select("doc", "g2", "b2").distinct()
-    union = blocks.groupBy("grp", "blk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("u"))
-    opened = (
-        meets.join(sets.select("doc", "n", "tokens"), "doc")
-        .join(union.select(F.col("grp").alias("g2"), F.col("blk").alias("b2"), "u"), ["g2", "b2"])
-        .where(F.size(F.array_intersect("tokens", "u")) * 100 >= F.col("n") * percent)
-        .select("doc", "g2", "b2")
-    )
-    pairs = opened.join(blocks.select(F.col("grp").alias("g2"), F.col("blk").alias("b2"), F.col("doc").alias("b")), ["g2", "b2"]).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
-    return _verified(pairs, sets, percent)
+    rare = stored(found.where(spare > 0).select("doc", F.explode(F.slice("s", F.lit(1), spare.cast("int"))).alias("x")).select("doc", F.col("x.t").alias("t")), "rare")
+    first = rare.groupBy("t").agg(F.min("doc").alias("b"))
+    families = stored(connected_components(rare.join(first, "t").select(F.col("doc").alias("a"), "b")).withColumnRenamed("node", "doc").withColumnRenamed("component", "family"), "families")
+    own = stored(sets.join(families, "doc"), "members")
+    sizes = own.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    dealt = own.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    packed = stored(dealt.select("family", "blk", "doc", "grp", "n", "tokens").groupBy("family", "blk").applyInArrow(_pack, "family long, blk long, x binary, sets long").join(sizes, "family"), "blocks")
+    left = packed.select("family", F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.col("blocks") - 1)).alias("j"), F.col("sets").alias("n"), "x")
+    right = packed.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blk"))).alias("i"), F.col("blk").alias("j"), F.col("sets").alias("m"), F.col("x").alias("y"))
+    tiles = left.join(right, ["family", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "n", "m", "x", "y")
+    return tiles.mapInArrow(_tiles(percent), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -305,3 +376,9 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     name = classes.join(component, F.col("doc") == F.col("node"), "left").where("copies > 1 or node is not null").select("k1", "k2", F.coalesce("component", "doc").alias("c"))
     rows = keyed.withColumn("linked", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     return rows.join(name.withColumn("linked", F.lit(True)), ["k1", "k2", "linked"], "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("c")), "doc_id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but those of similar documents with a smaller doc_id.  Rows with a null doc_id stay."""
+    gone = stored(similar_documents(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
