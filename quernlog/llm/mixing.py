@@ -114,21 +114,28 @@ def mixing_plan(docs: DataFrame, entropy: float = TARGET_ENTROPY, epochs: float
     return stored(plan.join(cut.select("s", F.col("turn").alias("cut_turn"), F.col("block").alias("cut_block")), "s", "left").join(ends, "s", "left"), "plan")
 
 
+#: What mix_sources adds; columns of that name in the input give way.
+OWN = ("mix_epoch", "mix_turn", "mix_place", "mix_tokens", "mix_weight")
+
+
 def mix_sources(docs: DataFrame, entropy: float = TARGET_ENTROPY, epochs: float = MOST_EPOCHS) -> DataFrame:
     """The rows drawn from ``docs``, with all its columns and mix_epoch, mix_turn, mix_place (sort by these three for the stream), mix_tokens, mix_weight."""
-    plan = mixing_plan(docs, entropy, epochs).withColumnRenamed("s", "mix_source")
-    rows = _marked(docs).join(_small(plan), "mix_source").withColumn("mix_block", _block(F.col("blocks")))
+    plan = _small(mixing_plan(docs.select("doc_id", "text", "source"), entropy, epochs))
+    rows = _marked(docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")))
+    rows = rows.withColumnRenamed("mix_source", "s").join(plan, "s").withColumn("mix_block", _block(F.col("blocks")))
     turn, place = _block_order(F.col("mix_block"), F.col("whole")), _order(F.col("whole"))
     ahead = (turn < F.col("cut_turn")) | ((turn == F.col("cut_turn")) & ((F.col("mix_block") < F.col("cut_block")) | ((F.col("mix_block") == F.col("cut_block")) & (place <= F.col("cut")))))
     draws = F.col("whole") + F.when(F.coalesce(ahead, F.lit(False)), 1).otherwise(0)
     drawn = rows.withColumn("mix_draws", draws).where("mix_draws > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_draws") - 1)))
-    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns), "mix_epoch", _block_order(F.col("mix_block"), F.col("mix_epoch")).alias("mix_turn"), _order(F.col("mix_epoch")).alias("mix_place"), "mix_tokens", F.round("weight", 6).alias("mix_weight"))
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in OWN]
+    return drawn.select(*kept, "mix_epoch", _block_order(F.col("mix_block"), F.col("mix_epoch")).alias("mix_turn"), _order(F.col("mix_epoch")).alias("mix_place"), "mix_tokens", F.round("weight", 6).alias("mix_weight"))
 
 
 #: The same in DuckDB's SQL over ``documents``.
 SQL = rf"""
 WITH RECURSIVE rows_ AS (
-  SELECT doc_id, coalesce('s' || source, '-') AS s, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) + 1 AS w FROM documents
+  SELECT doc_id, coalesce('s' || source, '-') AS s, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) + 1 AS w FROM documents
 ), sizes AS (
   SELECT s, sum(w)::BIGINT AS t, ceil(count(*) / {BLOCK_ROWS}.0)::BIGINT AS blocks FROM rows_ GROUP BY s
 ), shares AS (

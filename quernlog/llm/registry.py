@@ -76,6 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from .oracles import oracle_sql as known
 
-    return {"op5_mixing": mixing.SQL}
+    return known()
