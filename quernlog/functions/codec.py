@@ -90,5 +90,20 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_decode, DECODED)
 
 
+def write_logs(records: DataFrame, path: str) -> None:
+    """Write ``records`` (p, file, seq and a record's columns) as log files ``p=/file=/``, each in order of seq.
+
+    A file's size is bounded by rollover, so it is put together as one row.  The text sink ends it with
+    a line feed, which is less than a record's header and so no record.
+    """
+    coded = records.select("p", "file", "seq", encode(F.col("rec_type"), F.col("key"), F.col("value"), F.col("ts")).alias("r"))
+    files = coded.groupBy("p", "file").agg(F.sort_array(F.collect_list(F.struct("seq", "r"))).alias("rows"))
+    whole = F.unhex(F.array_join(F.transform("rows", lambda x: F.hex(x["r"])), ""))
+    files.select("p", "file", whole.cast("string").alias("value")).write.partitionBy("p", "file").text(path)
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return decode_files(spark.read.format("binaryFile").load(path))
+    """Records of all log files under ``path``: p, file, offset and a record's columns."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    part = lambda name: F.regexp_extract("path", f"{name}=(\\d+)/", 1).cast("int").alias(name)
+    return decode_files(files).select(part("p"), part("file"), "offset", "rec_type", "key", "value", "ts")

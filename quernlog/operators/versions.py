@@ -104,5 +104,22 @@ def merge_index(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return a.join(b, "key", "full_outer").select("key", pick("ts"), pick("run"))
 
 
+def index_of(entries: DataFrame, ties_go_to: str = "first") -> DataFrame:
+    """The index after ``entries`` (key, ts, run, seq) were set in order of seq: the newest ts of each key; on a tie the first or the last one set."""
+    tie = F.col("seq").asc() if ties_go_to == "first" else F.col("seq").desc()
+    newest = Window.partitionBy("key").orderBy(F.col("ts").desc(), tie)
+    return entries.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("key", "ts", "run", "seq")
+
+
+def index_without(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The index after ``keys`` were removed from it."""
+    return index.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def read_located(index: DataFrame, records: DataFrame) -> DataFrame:
+    """The records (with run and offset) that locators (key, run, offset) point at; a locator of a run that is gone finds none."""
+    return records.join(index.select("key", "run", "offset"), ["key", "run", "offset"], "left_semi")
+
+
 def binary_keys(log: DataFrame) -> DataFrame:
     return log.withColumn("key", as_binary(F.col("key"))).withColumn("value", as_binary(F.col("value")))

@@ -166,6 +166,28 @@ SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.ts IS NULL OR b.ts > a.ts THEN
 _register("encoded_sizes", f"WITH {LOG} SELECT seq, {SIZE} AS size FROM log", lambda s, d: event_log(s, d).select("seq", codec.record_bytes(F.col("key"), F.col("value"), F.col("ts")).alias("size")))
 
 
+for _ties, _order in (("first", ""), ("last", " DESC")):
+    _register(f"index_ties_{_ties}", f"WITH {LOG} SELECT key, ts, seq FROM (SELECT * REPLACE (ts - ts % {DAY} AS ts) FROM log) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq{_order}) = 1",
+              lambda s, d, t=_ties: V.index_of(tied(event_log(s, d)).withColumn("run", F.lit(0)), t).select("key", "ts", "seq"))
+_register("index_remove", f"WITH {LOG}, {LATEST}, {ASKED} SELECT key, ts FROM latest WHERE key NOT IN (SELECT key FROM asked WHERE key::INT <= 100)", lambda s, d: V.index_without(V.latest(event_log(s, d)), asked(s, d).where("int(key) <= 100")).select("key", "ts"))
+_register("locator_read", f"WITH {LOG}, {LATEST} SELECT key, value, ts FROM live",
+          lambda s, d: V.read_located(V.locator_index(R.record_offsets(event_runs(s, d))), R.record_offsets(event_runs(s, d))).select("key", "value", "ts"))
+
+
+def log_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live snapshot that replaying rolled-over log files gives."""
+    from ..sources.store import scratch_folder
+
+    log = event_log(spark, sf_dir)
+    path = scratch_folder(spark, "logs")
+    codec.write_logs(log.join(R.rollover(log, WAL_BYTES), ["p", "seq"]), path)
+    back = codec.read_logs(spark, path).withColumn("seq", F.struct("file", "offset"))
+    return V.live(back).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "ts")
+
+
+_register("log_recovery", f"WITH {LOG}, {LATEST} SELECT key, value, ts FROM live", log_recovery)
+
+
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     coded = log.select(codec.encode(F.col("rec_type"), F.col("key"), F.col("value"), F.col("ts")).alias("content"), F.col("seq").cast("string").alias("path"))

@@ -206,7 +206,11 @@ class Store:
         self.is_open = False
 
 
-def scratch_store(spark: SparkSession, partitions: int) -> Store:
-    """A new store in the shared folder (spark.checkpoint.dir; where unset, under the warehouse)."""
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the shared folder (spark.checkpoint.dir; where unset, under the warehouse)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return Store(spark, f"{root.rstrip('/')}/stores/{uuid.uuid4().hex}", Config(partitions=partitions))
+    return f"{root.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def scratch_store(spark: SparkSession, partitions: int) -> Store:
+    return Store(spark, scratch_folder(spark, "stores"), Config(partitions=partitions))
