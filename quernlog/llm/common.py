@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; bounds a worker's memory whatever the batch size.
 CHUNK_BYTES = 4 << 20
+BATCH_ROWS = 2000
 
 #: The separators of the word pattern [^\x20\x09-\x0D]+
 WORD_SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -43,12 +47,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quernlog/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.  A table with a row for a source or a language is given a few ``files``."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -56,6 +60,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, which bounds what a worker and its executor hold of texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Give what a task has freed back to the system; workers live on and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and each text's offset in them; a null is empty."""
     column = column.fill_null("") if column.null_count else column
@@ -78,6 +97,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release_memory()
 
 
 def slices_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -25,6 +25,8 @@ from .common import stored
 #: Rows that a block is meant to hold; sources that a broadcast may hold.
 BLOCK_ROWS, BROADCAST_ROWS = 2_000, 100_000
 STEPS = 40
+#: Files of a table with a row for each source.
+FEW = 4
 #: Share of the greatest possible entropy that the weights must reach, and the most epochs of a source.
 TARGET_ENTROPY, MOST_EPOCHS = 0.97, 4.0
 
@@ -71,10 +73,11 @@ def mixing_exponent(sizes: DataFrame, entropy: float = TARGET_ENTROPY, epochs: f
 
 def budgets(rows: DataFrame, entropy: float = TARGET_ENTROPY, epochs: float = MOST_EPOCHS) -> DataFrame:
     """Per source of ``rows`` (s, w: tokens): s, t, blocks, exponent, weight, budget, whole (epochs) and rest (tokens of the last, partial epoch)."""
-    sizes = stored(rows.groupBy("s").agg(F.sum("w").alias("t"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")), "sizes")
-    raised = sizes.crossJoin(F.broadcast(mixing_exponent(sizes, entropy, epochs))).withColumn("p", F.pow(F.col("t").cast("double"), F.col("exponent")))  # one row
-    totals = raised.agg(F.sum("p").alias("z"), F.sum("t").alias("all"))  # one row
-    weighed = raised.crossJoin(F.broadcast(totals)).withColumn("weight", F.col("p") / F.col("z")).withColumn("budget", F.round(F.col("weight") * F.col("all")).cast("long"))
+    sizes = stored(rows.groupBy("s").agg(F.sum("w").alias("t"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")), "sizes", FEW)
+    exponent = mixing_exponent(sizes, entropy, epochs).first()[0]
+    raised = F.pow(F.col("t").cast("double"), F.lit(exponent))
+    z, everything = sizes.agg(F.sum(raised), F.sum("t")).first()
+    weighed = sizes.withColumn("exponent", F.lit(exponent)).withColumn("weight", raised / F.lit(z)).withColumn("budget", F.round(F.col("weight") * F.lit(everything)).cast("long"))
     return weighed.select("s", "t", "blocks", "exponent", "weight", "budget", F.expr("budget div t").alias("whole"), (F.col("budget") % F.col("t")).alias("rest"))
 
 
@@ -103,15 +106,15 @@ def _small(df: DataFrame) -> DataFrame:
 def mixing_plan(docs: DataFrame, entropy: float = TARGET_ENTROPY, epochs: float = MOST_EPOCHS) -> DataFrame:
     """Per source: its budget and where in the last epoch's permutation the budget is met (cut_block: order of the block, cut: order of the row)."""
     light = stored(_marked(docs).select("doc_id", F.col("mix_source").alias("s"), F.col("mix_tokens").alias("w")), "light")
-    plan = stored(budgets(light, entropy, epochs), "budgets")
+    plan = stored(budgets(light, entropy, epochs), "budgets", FEW)
     placed = light.join(_small(plan.select("s", "blocks", "whole", "rest")), "s").where("rest > 0").withColumn("block", _block(F.col("blocks"))).withColumn("turn", _block_order(F.col("block"), F.col("whole")))
     blocks = placed.groupBy("s", "turn", "block", "rest", "whole").agg(F.sum("w").alias("b"))
     before = Window.partitionBy("s").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = stored(blocks.withColumn("had", F.sum("b").over(before) - F.col("b")).where("had < rest and rest <= had + b").select("s", "block", "turn", (F.col("rest") - F.col("had")).alias("left")), "cuts")
+    cut = stored(blocks.withColumn("had", F.sum("b").over(before) - F.col("b")).where("had < rest and rest <= had + b").select("s", "block", "turn", (F.col("rest") - F.col("had")).alias("left")), "cuts", FEW)
     inner = Window.partitionBy("s", "block").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = placed.drop("turn").join(_small(cut.drop("turn")), ["s", "block"]).withColumn("place", _order(F.col("whole")))
     ends = rows.groupBy("s", "block", "place", "left").agg(F.sum("w").alias("w")).withColumn("had", F.sum("w").over(inner) - F.col("w")).where("had < left").groupBy("s").agg(F.max("place").alias("cut"))
-    return stored(plan.join(cut.select("s", F.col("turn").alias("cut_turn"), F.col("block").alias("cut_block")), "s", "left").join(ends, "s", "left"), "plan")
+    return stored(plan.join(cut.select("s", F.col("turn").alias("cut_turn"), F.col("block").alias("cut_block")), "s", "left").join(ends, "s", "left"), "plan", FEW)
 
 
 #: What mix_sources adds; columns of that name in the input give way.

@@ -93,7 +93,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     rows = stored(counted(docs), "counted")
     sums = lambda name, n: F.array(*(F.sum(F.col(name)[k]) for k in range(n)))
     references = rows.groupBy("lang").agg(sums("classes", len(CLASSES) + 2).alias("c"), sums("commons", len(COMMON_WORDS) + 1).alias("w"))
-    references = stored(references.select("lang", _shares(F.col("c")).alias("c"), _shares(F.col("w")).alias("w")), "references")
+    references = stored(references.select("lang", _shares(F.col("c")).alias("c"), _shares(F.col("w")).alias("w")), "references", 4)
     small = references.count() <= BROADCAST_ROWS
     out = rows.join(F.broadcast(references) if small else references, "lang")
     out = out.withColumn("class_distance", distance(_shares(F.col("classes")), F.col("c"))).withColumn("common_distance", distance(_shares(F.col("commons")), F.col("w")))
