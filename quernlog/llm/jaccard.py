@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode_slices, flat_text, mixed, ranges, stored, text_chunks, word_slices
+from .common import bounded_batches, encode_slices, flat_text, mixed, ranges, stored, text_chunks, word_slices
 from .components import connected_components
 from .embeddings import joined
 
@@ -353,6 +353,7 @@ def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable over pairs with Jaccard similarity of at least ``percent``)."""
+    bounded_batches(docs.sparkSession)
     keyed = stored(set_keys(docs, width), "keys")
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(32, int(total * 0.4) // BUCKET_ENTRIES + 1)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_chunks
+from .common import bounded_batches, text_chunks
 from .tokens import text_tokenizer, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -97,7 +97,7 @@ def pack_lengths(lengths: np.ndarray, size: int, linear: float, quadratic: float
 
 def packer(path: str, size: int, end_id: int, linear: float, quadratic: float, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = text_tokenizer(path, space_led=True)
+        tokenizer = text_tokenizer(path, space_led=True, remembered=500_000)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         used = 0
@@ -137,4 +137,5 @@ def packer(path: str, size: int, end_id: int, linear: float, quadratic: float, b
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 4_000_000) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) in sequences of ``size`` ids; see the module for what they hold."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(packer(path or tokenizer_path("byte_bpe_50k.json"), size, end_id, linear, quadratic, block_tokens), SCHEMA)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import bounded_batches, text_chunks
 
 #: The order of kinds in results; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "address", "account")
@@ -172,6 +172,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): counts and digest of the base spans, and all spans."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_find, SCHEMA)
 
 
@@ -190,5 +191,6 @@ def _masker(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind; n_chars, where present, is set anew."""
+    bounded_batches(docs.sparkSession)
     out = docs.mapInArrow(_masker(docs.columns), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode_slices, flat_text, mixed, stored, text_chunks, word_slices
+from .common import bounded_batches, encode_slices, flat_text, mixed, stored, text_chunks, word_slices
 from .sums import partition_sum
 
 FEATURES, BINS, RIDGE, SEED = 192, 1024, 1e-3, 7
@@ -103,6 +103,8 @@ def statistics(column: pa.Array) -> np.ndarray:
 def statistics_table(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id and x, its statistics."""
 
+    bounded_batches(docs.sparkSession)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             x = statistics(chunk.column("text"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, text_chunks
+from .common import bounded_batches, mixed, text_chunks
 from .tokens import text_tokenizer, tokenizer_path
 
 MAGIC = b"QSST0001"
@@ -210,6 +210,7 @@ def _writer(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> None:
     """Write all ``docs`` (doc_id, text) as shards under ``path``; a shard's number gives its place in the order."""
+    bounded_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tie = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", tie).sortWithinPartitions("doc_id", tie)

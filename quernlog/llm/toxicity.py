@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode_slices, flat_text, mixed, ranges, stored, text_chunks, word_slices
+from .common import bounded_batches, encode_slices, flat_text, mixed, ranges, stored, text_chunks, word_slices
 from .quality import remainder, training_labels
 from .sums import partition_sum
 
@@ -166,6 +166,7 @@ def _scorer(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score and predicted; learns from ``labels`` (doc_id, toxic) outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     model = fit(docs.select("doc_id", "text"), labels, remainder("doc_id", fold) != held)
     scored = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select("doc_id", (remainder("doc_id", fold) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
