@@ -207,7 +207,8 @@ def test_mixing(spark, docs_of, edge, none, prose):
 
 
 def test_pipeline(spark, tmp_path, docs_of, prose):
-    pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as pipeline
+
     rng = random.Random(9)
     texts = [*prose, *(f"{rng.choice(prose)} mail me at a{i}@mail.example.com" for i in range(20)), *("JUNK JUNK!! $$$ " * rng.randint(5, 30) for _ in range(60)), None, ""]
     docs = docs_of(texts, sources=[rng.choice("aab") for _ in texts]).select("doc_id", "text", "lang", "source", "n_chars")
