@@ -363,6 +363,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     left = stored(classes.join(hits, "doc").where(F.col("hits") >= _least_repeats(F.col("n"), percent)).select("doc"), "left")
     chosen = left.distinct()
     sets = stored(token_sets(docs.join(_small(chosen.withColumnRenamed("doc", "doc_id"), left.count()), "doc_id", "left_semi"), width).where("n > 0").withColumn("grp", F.col("doc")), "sets")
+    set_buckets = max(32, int(sets.agg(F.sum("n")).first()[0] or 0) // BUCKET_ENTRIES + 1)
     links, held = None, sets
     for seeds in (range(0, 6), range(6, 10)):
         links_now = stored(_first_links(held, percent, seeds), "links")
@@ -370,7 +371,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         groups = stored(connected_components(links), "groups")
         grouped = sets.drop("grp").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("grp", F.coalesce("component", "doc")).drop("component")
         grouped = stored(grouped, "grouped")
-        foreign = _repeats(grouped.select("doc", "grp", "tokens").mapInArrow(_set_chunks_packed(32), _PACKED))
+        foreign = _repeats(grouped.select("doc", "grp", "tokens").mapInArrow(_set_chunks_packed(set_buckets), _PACKED))
         held = stored(grouped.join(foreign, "doc").where(F.col("hits") * 100 >= F.col("n") * percent).drop("hits"), "held")
     links = links.union(stored(_matrix_links(held, percent), "links"))
     component = connected_components(links)
