@@ -78,11 +78,18 @@ DECODED = "path string, offset long, rec_type int, key binary, value binary, ts
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+    names = [c.split()[0] for c in DECODED.split(", ")]
     for batch in batches:
+        rows: list[tuple] = []
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = list(decode_all(content.as_buffer()))
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=[c.split()[0] for c in DECODED.split(", ")])
+            for record in decode_all(content.as_buffer()):
+                rows.append((path, *record))
+                if len(rows) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
 def decode_files(files: DataFrame) -> DataFrame:
