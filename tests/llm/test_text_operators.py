@@ -212,6 +212,20 @@ def test_model_beats_subword_shares():
     assert m.log10(x, y)[scored].mean() > np.log10((counts + 0.1) / (counts.sum() + 0.1 * lm.VOCABULARY))[y[scored]].mean() + 0.1
 
 
+def test_model_counts_all_training_texts(docs_of, prose, monkeypatch):
+    models, scorer = [], lm._scorer
+    monkeypatch.setattr(lm, "FIT_IDS", 100)
+    monkeypatch.setattr(lm, "_scorer", lambda model, *a: models.append(model) or scorer(model, *a))
+    assert lm.score_texts(docs_of(prose)).count() == len(prose)
+    whole = encoder("word_bpe_49k.json")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    train = [t for i, t in enumerate(prose) if zlib.crc32(str(i).encode()) % 7 != 2]
+    n = sum(len(whole(t.translate(low))) + 1 for t in train)
+    # An id that never occurs has 200 base shares in a cluster of n_k ids, which tells n_k.
+    never = models[0].parts[lm.START].astype(float)
+    assert math.isclose((200 * 0.1 / (n + 0.1 * lm.VOCABULARY) / never - 200).sum(), n, rel_tol=1e-3)
+
+
 def test_shards(spark, tmp_path, edge, none, docs_of, prose):
     whole = encoder("word_bpe_49k.json")
     docs = edge.unionByName(docs_of(prose, [1000 - 3 * i for i in range(len(prose))]))
