@@ -28,6 +28,17 @@ KINDS = ("email", "ip", "card", "phone", "url", "address", "account")
 BASE = 4
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
+#: The length of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
 #: Cue words that stand before an identifier, and words of street names.
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "kontonummer", "compte", "cuenta", "routing", "passport", "ssn", "token", "api_key", "apikey", "secret", "password", "passwd")
 STREET_CUES = ("street", "avenue", "road", "boulevard", "lane", "drive", "straße", "strasse", "rue", "calle", "avenida")
@@ -39,7 +50,7 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_TAIL = re.compile(r"[A-Za-z0-9\-._~%!$&'()*+,;=:@/?#\[\]]+")
-_ACCOUNT = re.compile(r"(?:\x20(?:no|nr|number|id)\b\.?)?\x20?[:=#]\x20?[\"']?([A-Za-z0-9][A-Za-z0-9_\-]{5,63})")
+_ACCOUNT = re.compile(r"(?:\x20(?:no|nr|number|id)\b\.?)?\x20?[:=#]\x20?[\"']?([A-Za-z0-9][A-Za-z0-9_\-]{5,})")
 _IBAN = re.compile(r"[:\x20]{1,2}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 _HOUSE_BEFORE = re.compile(r"[0-9]{1,5}[A-Za-z]?\x20(?:[^\W\d_][\w'.-]*\x20){1,4}$")
 _HOUSE_AFTER = re.compile(r"(?:\x20[^\W\d_][\w'.-]*){0,4},?\x20[0-9]{1,5}[A-Za-z]?\b")
@@ -60,6 +71,18 @@ def _iban_holds(raw: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """Where an IBAN in the run from ``start`` to ``end`` ends, or 0: at its country's length, else at the last end of a word where it holds."""
+    places = [i + 1 for i in range(start, end) if text[i] != " "]
+    known = IBAN_LENGTHS.get(text[start : start + 2], 0)
+    if 0 < known <= len(places) and _iban_holds(text[start : (own := places[known - 1])]) and (" " in text[start:own] or own == len(text) or not text[own].isalnum()):
+        return own
+    for own in reversed(places[14:]):
+        if (own == len(text) or not text[own].isalnum()) and _iban_holds(text[start:own]):
+            return own
+    return 0
+
+
 def anchors():
     """The automaton: each anchor's parser and length."""
     import ahocorasick
@@ -123,11 +146,12 @@ def spans_of(text: str, automaton) -> list[Span]:
         elif kind == "account":
             if last < account_end:
                 continue
-            if (m := _IBAN.match(text, last + 1)) and _iban_holds(m.group(1)):
-                pass
-            elif not ((m := _ACCOUNT.match(text, last + 1)) and any(c.isdigit() for c in m.group(1))):
+            if (m := _IBAN.match(text, last + 1)) and (end := _iban_end(text, m.start(1), m.end(1))):
+                account_end = end
+            elif (m := _ACCOUNT.match(text, last + 1)) and any(c.isdigit() for c in m.group(1)):
+                account_end = m.end(1)
+            else:
                 continue
-            account_end = m.end(1)
             found.append((6, m.start(1), account_end))
         elif last + 1 == len(text) or not text[last + 1].isalnum():
             if at >= address_end and (m := _HOUSE_BEFORE.search(text[max(address_end, at - 80) : at])):

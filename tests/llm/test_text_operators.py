@@ -118,6 +118,18 @@ def test_pii_kinds_and_masks(docs_of, edge, none):
     assert pii.mask_pii(docs_of([clean])).first().text == clean
 
 
+@pytest.mark.parametrize(
+    ("text", "account"),
+    [
+        ("IBAN: DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX", "DE89 3704 0044 0532 0130 00"), ("IBAN: DE89 3704 0044 0532 0130 00 Please pay", "DE89 3704 0044 0532 0130 00"), ("IBAN GB82 WEST 1234 5698 7654 32 2024", "GB82 WEST 1234 5698 7654 32"),
+        ("IBAN: DE89370400440532013000 BIC", "DE89370400440532013000"), ("IBAN: NO93 8601 1117 947 DUE NOW", "NO93 8601 1117 947"), ("token=" + "a1" * 48 + " end", "a1" * 48),
+    ],
+)
+def test_accounts_are_found_whole(text, account):
+    assert [text[a:b] for k, a, b in pii.spans_of(text, pii.anchors()) if pii.KINDS[k] == "account"] == [account]
+    assert account not in pii.masked(text, pii.spans_of(text, pii.anchors())) and "[ACCOUNT]" in pii.masked(text, pii.spans_of(text, pii.anchors()))
+
+
 def rule_counts(t):
     w = WORD.findall(t)
     seen, windows, covered, dup = set(), collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set(), 0
