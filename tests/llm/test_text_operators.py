@@ -238,6 +238,17 @@ def test_model_counts_all_training_texts(docs_of, prose, monkeypatch):
     assert math.isclose((200 * 0.1 / (n + 0.1 * lm.VOCABULARY) / never - 200).sum(), n, rel_tol=1e-3)
 
 
+@pytest.mark.parametrize(("ids", "least", "most"), [(1000, 5, 300), (0, 100, 100)])
+def test_model_learns_from_windows_of_few_long_texts(docs_of, monkeypatch, ids, least, most):
+    trained = []
+    monkeypatch.setattr(lm, "FIT_IDS", ids)
+    monkeypatch.setattr(lm, "FIT_SHARE", 0.0, raising=False)
+    monkeypatch.setattr(lm, "POOL", 100, raising=False)
+    monkeypatch.setattr(lm.Attention, "train", lambda self, pools, windows, *a: trained.append((windows, sum(len(x) for x, _ in pools))))
+    assert lm.score_texts(docs_of([" ".join(f"w{i % 997}" for i in range(20_000))])).count() == 1
+    assert len(trained) == 1 and trained[0][0] == trained[0][1] and least <= trained[0][0] <= most
+
+
 def test_shards(spark, tmp_path, edge, none, docs_of, prose):
     whole = encoder("word_bpe_49k.json")
     docs = edge.unionByName(docs_of(prose, [1000 - 3 * i for i in range(len(prose))]))
