@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,21 +76,94 @@ def decode_all(raw: bytes | memoryview) -> Iterator[tuple[int, int, bytes, bytes
 
 
 DECODED = "path string, offset long, rec_type int, key binary, value binary, ts long"
+#: Records that a batch of decoded ones is meant to hold; files from which on they are walked side by side.
+_BATCH_RECORDS, _ABREAST = 200_000, 32
+
+
+def _slices(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary array of parts of ``data``."""
+    ends = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    places = np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[places])]).cast(pa.binary())
+
+
+def _step(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The records at places ``at`` of ``data``, each within its file's ``end``: lengths of key and value, the time, and where the next one is; -1 for no whole record."""
+    two = lambda i: data[i].astype(np.int64) | data[i + 1].astype(np.int64) << 8
+    whole = at + HEADER_BYTES <= end
+    own = np.where(whole, at, 0)
+    n_key, n_value = two(own), two(own + 2)
+    place = own + HEADER_BYTES + n_key + n_value
+    ts, more = np.zeros(len(at), np.int64), whole.copy()
+    for shift in range(0, 63, 7):
+        inside = more & (place < end)
+        whole &= ~more | inside  # a torn time
+        b = data[np.where(inside, place, 0)].astype(np.int64)
+        ts |= np.where(inside, (b & 127) << shift, 0)
+        place += inside
+        more = inside & (b >= 128)
+        if not more.any():
+            break
+    return n_key, n_value, ts, np.where(whole & ~more, place, -1)
+
+
+def _walk(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All records of the files ``data[start:end]``: file, place, lengths of key and value, time; a file's records in order."""
+    parts, at, live = [], start.copy(), np.arange(len(start))
+    while len(live) >= _ABREAST:  # one record of every file at a time
+        n_key, n_value, ts, after = _step(data, at[live], end[live])
+        good = after >= 0
+        live = live[good]
+        parts.append((live, at[live], n_key[good], n_value[good], ts[good]))
+        at[live] = after[good]
+    raw = memoryview(data)
+    for f in live.tolist():  # few files: one after the other
+        rows = []
+        base, stop = int(at[f]), int(end[f])
+        while base + HEADER_BYTES <= stop:
+            n_key, n_value, _, _ = _HEADER.unpack_from(raw, base)
+            t = base + HEADER_BYTES + n_key + n_value
+            ts = shift = 0
+            b = 128
+            while t < stop and b > 127:
+                b = raw[t]
+                t += 1
+                ts |= (b & 127) << shift
+                shift += 7
+            if b > 127:
+                break
+            rows.append((base, n_key, n_value, ts))
+            base = t
+        if rows:
+            r = np.array(rows, np.int64)
+            parts.append((np.full(len(r), f), r[:, 0], r[:, 1], r[:, 2], r[:, 3]))
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    out = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.argsort(out[1], kind="stable")  # files lie one after the other
+    return tuple(c[order] for c in out)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
     names = [c.split()[0] for c in DECODED.split(", ")]
     for batch in batches:
-        rows: list[tuple] = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for record in decode_all(content.as_buffer()):
-                rows.append((path, *record))
-                if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        content = batch.column(1).cast(pa.large_binary())
+        if not len(content):
+            continue
+        ends = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
+        raw = content.buffers()[2]
+        # A header can be looked at beyond the last byte; what is there belongs to no record.
+        data = np.concatenate([np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8), np.zeros(HEADER_BYTES, np.uint8)])
+        ends = ends - ends[0]
+        file, at, n_key, n_value, ts = _walk(data, ends[:-1], ends[1:])
+        for a in range(0, len(file), _BATCH_RECORDS):
+            s = slice(a, a + _BATCH_RECORDS)
+            keys = at[s] + HEADER_BYTES
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(file[s])), pa.array(at[s] - ends[file[s]]), pa.array(data[at[s] + 6].astype(np.int32)), _slices(data, keys, n_key[s]), _slices(data, keys + n_key[s], n_value[s]), pa.array(ts[s])],
+                names=names,
+            )
 
 
 def decode_files(files: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codec import DELETE, WRITE, record_bytes
 from .versions import latest, live
@@ -20,10 +25,10 @@ def flushed(log: DataFrame, epoch: Column) -> DataFrame:
 
 
 def run_metadata(records: DataFrame, by: tuple[str, ...] = ("p", "run")) -> DataFrame:
-    """Per run its key range and its writes, deletes and bytes."""
+    """Per run its key range, its writes, deletes and bytes, and its newest time."""
     return records.groupBy(*by).agg(
         F.min("key").alias("start_key"), F.max("key").alias("end_key"), F.count_if(F.col("rec_type") == WRITE).alias("n_write"),
-        F.count_if(F.col("rec_type") == DELETE).alias("n_del"), F.sum(record_bytes(F.col("key"), F.col("value"), F.col("ts"))).alias("bytes"),
+        F.count_if(F.col("rec_type") == DELETE).alias("n_del"), F.sum(record_bytes(F.col("key"), F.col("value"), F.col("ts"))).alias("bytes"), F.max("ts").alias("max_ts"),
     )
 
 
@@ -33,24 +38,51 @@ def record_offsets(records: DataFrame, by: tuple[str, ...] = ("p", "run")) -> Da
     return records.withColumn("offset", F.coalesce(F.sum(record_bytes(F.col("key"), F.col("value"), F.col("ts"))).over(before), F.lit(0)))
 
 
+def _file_numbers(used: int, sizes: np.ndarray, most_bytes: int) -> tuple[np.ndarray, int]:
+    """How many files were opened up to each record, for records that follow ``used`` bytes of a file; and the bytes of the last one.  Work is a binary search for each file."""
+    ends = np.cumsum(sizes) + used
+    opens = np.zeros(len(sizes), np.int64)
+    begin, least = 0, 0 if used else 1  # bytes before the open file; the first record that may open another
+    while (at := max(int(np.searchsorted(ends, begin + most_bytes)), least)) < len(ends):
+        opens[at] = 1
+        begin, least = int(ends[at - 1]) if at else used, at + 1
+    return np.cumsum(opens), int(ends[-1]) - begin
+
+
 def rollover(log: DataFrame, most_bytes: int, by: tuple[str, ...] = ("p",)) -> DataFrame:
     """The log file (from 0) that each record goes to: a record that would make its file as large as ``most_bytes`` opens the next.
 
-    The rule is a fold over a shard's records in order of arrival, so a shard's sizes are held together;
-    of the records only seq and size are.
+    The rule runs over a shard's records in order of arrival, so a shard is one task; its sizes stream
+    through in batches, and only the open file's bytes are carried on.
     """
     rows = log.select(*by, "seq", record_bytes(F.col("key"), F.col("value"), F.col("ts")).alias("size"))
-    held = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seq", "size"))).alias("r"))
-
-    def put(state: Column, x: Column) -> Column:
-        full = (state["used"] > 0) & (state["used"] + x["size"] >= most_bytes)
-        file = state["file"] + F.when(full, 1).otherwise(0)
-        return F.struct(file.alias("file"), (F.when(full, 0).otherwise(state["used"]) + x["size"]).alias("used"), x["seq"].alias("seq"))
-
-    start = F.struct(F.lit(0).alias("file"), F.lit(0).cast("long").alias("used"), F.lit(None).cast("long").alias("seq"))
-    # The states of all prefixes: an aggregate that appends to what it has.
-    all_states = F.aggregate("r", F.array(start), lambda a, x: F.concat(a, F.array(put(F.element_at(a, -1), x))))
-    return held.select(*by, F.explode(F.slice(all_states, 2, F.greatest(F.size("r"), F.lit(1)))).alias("s")).select(*by, F.col("s.seq").alias("seq"), F.col("s.file").alias("file"))
+    names = [*by, "seq", "file"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, file, used = None, 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+            change = np.zeros(n, bool)
+            for k in keys:
+                change[1:] |= k[1:] != k[:-1]
+            change[0] = last != tuple(k[0] for k in keys)
+            last = tuple(k[-1] for k in keys)
+            sizes = batch.column("size").to_numpy()
+            edges = np.unique(np.concatenate([[0], np.flatnonzero(change), [n]]))
+            out = np.empty(n, np.int64)
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if change[a]:
+                    file, used = 0, 0
+                opened, used = _file_numbers(used, sizes[a:z], most_bytes)
+                out[a:z] = file + opened
+                file = int(out[z - 1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "seq")), pa.array(out.astype(np.int32))], names=names)
+
+    schema = T.StructType([*rows.select(*by, "seq").schema.fields, T.StructField("file", T.IntegerType())])
+    return rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInArrow(number, schema)
 
 
 def merged(records: DataFrame, bottom: bool) -> DataFrame:
@@ -98,28 +130,56 @@ def eligible_levels(runs: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(level_limits(runs)), "level").where(full).select("p", "level", "files")  # one row a level
 
 
+def meets(run: dict, start: str, end: str) -> bool:
+    """Whether a run's closed key range meets another."""
+    return run["start_key"] <= end and start <= run["end_key"]
+
+
+def span(runs: list[dict]) -> tuple[str, str]:
+    return min(r["start_key"] for r in runs), max(r["end_key"] for r in runs)
+
+
+def _deletes_first(runs: list[dict]) -> list[dict]:
+    """Runs of deletes only, then the others; both from the oldest."""
+    return sorted(runs, key=lambda r: (not (r.get("n_del", 0) > 0 and not r.get("n_write", 0)), r["run"]))
+
+
+def pick_deeper(runs: list[dict], limit: int) -> list[int]:
+    """As ``picked``, of one shard and level, over metadata that the driver holds."""
+    return [r["run"] for r in _deletes_first(runs)[: max(0, len(runs) - limit + 1)]]
+
+
 def pick_level0(runs: list[dict], next_runs: list[dict]) -> tuple[list[int], list[int]]:
-    """Inputs of a level-0 compaction of one shard, over metadata that the driver holds: runs of level 0 and of level 1.
+    """Inputs of a level-0 compaction of one shard, over its metadata: runs of level 0, and those of level 1 that meet their common range.
 
-    The first level-0 run that meets level 1 starts a range; others join while they meet the range and
-    at most MOST_OVERLAP level-1 runs do.  If none meets level 1, all of level 0 goes.
+    Runs are tried with deletes first, then from the oldest.  The first that meets level 1 starts a
+    range; another that meets level 1 joins if neither it nor the range that it makes meets more than
+    MOST_OVERLAP runs there.  If none meets level 1, all of level 0 goes.
     """
-    meets = lambda a, s, e: a["start_key"] <= e and s <= a["end_key"]
-    ordered = sorted(runs, key=lambda r: r["run"])
-    first = next((r for r in ordered if any(meets(n, r["start_key"], r["end_key"]) for n in next_runs)), None)
-    if first is None:
-        return [r["run"] for r in ordered], []
-    start, end, taken = first["start_key"], first["end_key"], [first]
-    for r in ordered:
-        if r is first or not (any(meets(n, r["start_key"], r["end_key"]) for n in next_runs) or meets(r, start, end)):
-            continue
-        s, e = min(start, r["start_key"]), max(end, r["end_key"])
-        if sum(meets(n, s, e) for n in next_runs) <= MOST_OVERLAP:
-            start, end = s, e
+    below = lambda s, e: sum(meets(n, s, e) for n in next_runs)
+    taken: list[dict] = []
+    for r in _deletes_first(runs):
+        own = below(r["start_key"], r["end_key"])
+        if own and (not taken or (own <= MOST_OVERLAP and below(*span([*taken, r])) <= MOST_OVERLAP)):
             taken.append(r)
+    taken = taken or runs
+    start, end = span(taken)
     return sorted(r["run"] for r in taken), sorted(n["run"] for n in next_runs if meets(n, start, end))
 
 
+def level0_picks(runs: DataFrame) -> DataFrame:
+    """``pick_level0`` for every shard of ``runs`` (p, run, level, start_key, end_key, n_write, n_del): the runs picked, with their level.  A shard's metadata is one group; records are not looked at."""
+
+    def pick(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        chosen = pick_level0([r for r in rows if r["level"] == 0], [r for r in rows if r["level"] == 1]) if any(r["level"] == 0 for r in rows) else ([], [])
+        n = [len(c) for c in chosen]
+        return pa.table({"p": pa.array([key[0].as_py()] * sum(n), pa.int32()), "run": pa.array([*chosen[0], *chosen[1]], pa.int64()), "level": pa.array([0] * n[0] + [1] * n[1], pa.int32())})
+
+    own = runs.where("level < 2").select("p", "run", "level", "start_key", "end_key", "n_write", "n_del")
+    return own.groupBy("p").applyInArrow(pick, "p int, run long, level int")
+
+
 def replayed(manifest: DataFrame) -> DataFrame:
     """The last operation of each (file_type, p, run) in commit order."""
     last = Window.partitionBy("file_type", "p", "run").orderBy(F.col("commit").desc())
@@ -138,12 +198,17 @@ def level_stats(records: DataFrame) -> DataFrame:
     return grid.join(own, ["p", "level"], "left").na.fill(0, ["files", "n_write", "n_del"])
 
 
-def partition_stats(index: DataFrame, active: DataFrame, inactive: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per shard: keys (those of the index, the active and the inactive memtables, added up), inactive memtables and runs."""
+def level_runs(runs: DataFrame) -> DataFrame:
+    """Per shard and level the numbers of its runs, in order."""
+    return runs.groupBy("p", "level").agg(F.array_join(F.sort_array(F.collect_set("run")), ",").alias("runs"))
+
+
+def partition_stats(index: DataFrame, active: DataFrame, inactive: DataFrame, runs: DataFrame, n_partitions: int) -> DataFrame:
+    """Per shard, empty ones too: keys (those of the index, the active and the inactive memtables, added up), inactive memtables and runs."""
     count = lambda d, **cols: d.groupBy("p").agg(*(c.alias(n) for n, c in cols.items()))
-    parts = [count(index, k=F.count(F.lit(1))), count(active, k=F.count(F.lit(1))), count(inactive, k=F.count(F.lit(1)), inactive_memtables=F.countDistinct("epoch")), count(runs, sst_count=F.countDistinct("run"))]
-    out = parts[0]
-    for d in parts[1:]:
+    one = F.count(F.lit(1))
+    out = index.sparkSession.range(n_partitions).select(F.col("id").cast("int").alias("p"))
+    for d in (count(index, k=one), count(active, k=one), count(inactive, k=one, inactive_memtables=F.countDistinct("epoch")), count(runs, sst_count=F.countDistinct("run"))):
         out = out.unionByName(d, allowMissingColumns=True)
     return out.groupBy("p").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("k", "keys"), ("inactive_memtables", "inactive_memtables"), ("sst_count", "sst_count"))))
 

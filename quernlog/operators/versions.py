@@ -43,11 +43,22 @@ def point_get(log: DataFrame, key: str | bytes, n_partitions: int | None = None)
     return live(log.where(F.col("key") == (F.lit(raw) if kind == "binary" else F.lit(raw.decode()))))
 
 
-def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """Every asked key (distinct) with its value, null where none is live, and ``found``."""
-    asked = keys.select("key").distinct()
-    held = live(log.join(asked, "key", "left_semi")).select("key", "value", F.lit(True).alias("found"))
-    return asked.join(held, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+def multi_get(log: DataFrame, keys: DataFrame, n_partitions: int | None = None, few_versions: bool = False) -> DataFrame:
+    """Every asked key (distinct) with its value, null where none is live, and ``found``.
+
+    With ``n_partitions`` the log has its shard ``p``, and the join is on shard and key.  ``few_versions``
+    tells that no key has many records, so that the newest is picked after the join; else before it,
+    where a hot key is cut to one row a task.
+    """
+    asked = keys.select("key").distinct() if n_partitions is None else keys.select("key", partition_of(F.col("key"), n_partitions).alias("p")).distinct()
+    on = ["key"] if n_partitions is None else ["p", "key"]
+    held = log.select(*on, "value", *ORDER, "rec_type")
+    if few_versions:
+        rows = latest(asked.join(held, on, "left"), on)
+    else:
+        rows = asked.join(latest(held, on), on, "left")
+    found = F.coalesce(F.col("rec_type") == WRITE, F.lit(False))
+    return rows.select("key", F.when(found, F.col("value")).alias("value"), found.alias("found"))
 
 
 def existing(log: DataFrame, keys: DataFrame) -> DataFrame:
@@ -117,8 +128,11 @@ def index_without(index: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def read_located(index: DataFrame, records: DataFrame) -> DataFrame:
-    """The records (with run and offset) that locators (key, run, offset) point at; a locator of a run that is gone finds none."""
-    return records.join(index.select("key", "run", "offset"), ["key", "run", "offset"], "left_semi")
+    """The records (with run and offset) that locators (key, run, offset) point at; a locator that points at nothing, as its run is gone, is an error."""
+    on = ["key", "run", "offset"]
+    rows = index.select(*on).join(records.withColumn("_held", F.lit(True)), on, "left")
+    lost = F.raise_error(F.concat(F.lit("no record at "), F.concat_ws(":", F.col("run").cast("string"), F.col("offset").cast("string"))))
+    return rows.withColumn("key", F.when(F.col("_held").isNull(), lost).otherwise(F.col("key"))).drop("_held").select(*records.columns)
 
 
 def binary_keys(log: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,46 @@ def test_rollover_matches_a_fold(spark):
         assert got[r.seq] == (r.p, file.get(r.p, 0))
 
 
+def test_rollover_in_batches_and_of_large_records(spark):
+    sizes = [9, 50, 130, 5, 5, 119, 1, 1, 300, 300, 2] * 40
+
+    def fold(sizes, most, used=0):
+        out, file = [], 0
+        for x in sizes:
+            if used and used + x >= most:
+                file, used = file + 1, 0
+            used += x
+            out.append(file)
+        return out, used
+
+    for most, used in ((120, 0), (120, 7), (120, 119), (1, 0), (10**6, 3)):
+        got, left = R._file_numbers(used, np.array(sizes), most)
+        assert (got.tolist(), left) == fold(sizes, most, used)
+    log = spark.range(30_000).select(F.lit(0).alias("p"), F.lit("k").alias("key"), F.lit("v" * 91).alias("value"), F.lit(1).cast("long").alias("ts"), F.col("id").alias("seq"))
+    assert [r.file for r in R.rollover(log, 400).orderBy("seq").collect()] == [i // 3 for i in range(30_000)]
+
+
+def test_decoding_many_files_and_torn_ones(spark):
+    rng = random.Random(2)
+    record = lambda k, v, t: bytes([len(k) & 255, len(k) >> 8, len(v) & 255, len(v) >> 8, 8, 0, 0]) + k + v + varint(t)
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    files, want = [], []
+    for i in range(70):
+        rows = [(rng.randbytes(rng.randrange(5)), rng.randbytes(rng.randrange(300)), rng.randrange(2 ** rng.randrange(1, 50))) for _ in range(i % 6)]
+        whole = b"".join(record(*r) for r in rows)
+        if rows and i % 4 == 0:
+            whole, rows = whole[: -rng.randint(1, 6)], rows[:-1]
+        files.append((str(i), whole))
+        want += [(str(i), *r) for r in rows]
+    for some in (files, files[:9]):
+        df = spark.createDataFrame(some, "path string, content binary").coalesce(1)
+        got = [(r.path, bytes(r.key), bytes(r.value), r.ts) for r in codec.decode_files(df).orderBy(F.col("path").cast("int"), "offset").collect()]
+        assert got == [w for w in want if int(w[0]) < len(some)]
+
+
 RUNS = "p int, run long, level int, start_key string, end_key string, n_write long, n_del long"
 
 
@@ -118,11 +159,30 @@ def test_ranges_meet_as_strings(spark, a, b, meets):
     assert bool(R.overlapping(left, right).count()) is meets
 
 
-def test_level0_picker():
+def test_level0_picker(spark):
     make = lambda *ranges: [{"run": i, "start_key": s, "end_key": e} for i, (s, e) in enumerate(ranges)]
     low = make(("200", "250"), ("270", "300"), ("998", "999"))
     assert R.pick_level0(low, make(("222", "666"))) == ([0, 1], [0])
     assert R.pick_level0(low, []) == ([0, 1, 2], [])
+    assert R.pick_level0(make(("a", "b"), ("y", "z")), make(("m", "n"))) == ([0, 1], [0])  # only their common range meets level 1
+    wide = make(*((f"{i:02d}", f"{i:02d}") for i in range(40)))
+    assert R.pick_level0(make(("00", "39"), ("00", "01")), wide) == ([0], list(range(40)))  # the first is taken whatever it meets
+    assert R.pick_level0(make(("00", "01"), ("00", "39"), ("05", "30"), ("31", "35")), wide) == ([0, 2], list(range(31)))
+    dels = make(("00", "01"), ("02", "03"))
+    dels[1] |= {"n_del": 4, "n_write": 0}
+    dels.append({"run": 2, "start_key": "39", "end_key": "39"})
+    assert R.pick_level0(dels, wide)[0] == [0, 1]  # from run 1 on, 39 is out of reach
+    assert R.pick_deeper(dels, 3) == [1]
+    runs = spark.createDataFrame([(5, r["run"], level, r["start_key"], r["end_key"], r.get("n_write", 1), r.get("n_del", 0)) for level, rs in ((0, dels), (1, wide)) for r in rs] + [(6, 1, 1, "a", "b", 1, 0)], RUNS)
+    assert {(r.p, r.run) for r in R.level0_picks(runs).where("level = 0").collect()} == {(5, 0), (5, 1)}
+
+
+def test_a_locator_of_a_lost_run_is_an_error(spark):
+    log = R.record_offsets(V.change_log(random_log(spark)[1], 3).withColumn("run", F.col("seq") % 4))
+    index = V.locator_index(log)
+    assert V.read_located(index, log).count() == index.count()
+    with pytest.raises(Exception, match="no record at 2:"):
+        V.read_located(index, log.where("run <> 2")).collect()
 
 
 def test_level_picker_and_moves(spark):
