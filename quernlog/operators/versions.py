@@ -43,22 +43,10 @@ def point_get(log: DataFrame, key: str | bytes, n_partitions: int | None = None)
     return live(log.where(F.col("key") == (F.lit(raw) if kind == "binary" else F.lit(raw.decode()))))
 
 
-def multi_get(log: DataFrame, keys: DataFrame, n_partitions: int | None = None, few_versions: bool = False) -> DataFrame:
-    """Every asked key (distinct) with its value, null where none is live, and ``found``.
-
-    With ``n_partitions`` the log has its shard ``p``, and the join is on shard and key.  ``few_versions``
-    tells that no key has many records, so that the newest is picked after the join; else before it,
-    where a hot key is cut to one row a task.
-    """
-    asked = keys.select("key").distinct() if n_partitions is None else keys.select("key", partition_of(F.col("key"), n_partitions).alias("p")).distinct()
-    on = ["key"] if n_partitions is None else ["p", "key"]
-    held = log.select(*on, "value", *ORDER, "rec_type")
-    if few_versions:
-        rows = latest(asked.join(held, on, "left"), on)
-    else:
-        rows = asked.join(latest(held, on), on, "left")
-    found = F.coalesce(F.col("rec_type") == WRITE, F.lit(False))
-    return rows.select("key", F.when(found, F.col("value")).alias("value"), found.alias("found"))
+def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every asked key (distinct) with its value, null where none is live, and ``found``.  A hot key of the log is cut to one row a task before the join."""
+    held = live(log.select("key", "value", *ORDER, "rec_type")).select("key", "value", F.lit(True).alias("found"))
+    return keys.select("key").distinct().join(held, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def existing(log: DataFrame, keys: DataFrame) -> DataFrame:

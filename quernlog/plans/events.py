@@ -104,7 +104,7 @@ _register("put_change_log", f"WITH {LOG} SELECT key, value, ts, seq, rec_type, p
 _register("point_get", f"WITH {LOG}, {LATEST} SELECT key, value, ts FROM live WHERE key = '42'",
           lambda s, d: V.point_get(event_log(s, d), "42", PARTITIONS).select("key", "value", "ts"))
 _register("multi_get", f"WITH {LOG}, {LATEST}, {ASKED} SELECT a.key, l.value, l.key IS NOT NULL AS found FROM asked a LEFT JOIN live l ON a.key = l.key",
-          lambda s, d: V.multi_get(event_log(s, d), asked(s, d), PARTITIONS))
+          lambda s, d: V.multi_get(event_log(s, d), asked(s, d)))
 _register("exists_keys", f"WITH {LOG}, {LATEST}, {ASKED} SELECT key FROM asked WHERE key IN (SELECT key FROM live)", lambda s, d: V.existing(event_log(s, d), asked(s, d)))
 _register("missing_keys", f"WITH {LOG}, {LATEST}, {ASKED} SELECT key FROM asked WHERE key NOT IN (SELECT key FROM live)", lambda s, d: V.missing(event_log(s, d), asked(s, d)))
 _register("delete_prior_value", f"WITH {LOG}, {PRIOR} SELECT key, ts, seq, prior_value FROM prior WHERE rec_type = 1 AND prior_type = 0",
@@ -187,7 +187,8 @@ _register("encoded_sizes", f"WITH {LOG} SELECT seq, {SIZE} AS size FROM log", la
 for _ties, _order in (("first", ""), ("last", " DESC")):
     _register(f"index_ties_{_ties}", f"WITH {LOG} SELECT key, ts, seq FROM (SELECT * REPLACE (ts - ts % {DAY} AS ts) FROM log) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq{_order}) = 1",
               lambda s, d, t=_ties: V.index_of(tied(event_log(s, d)).withColumn("run", F.lit(0)), t).select("key", "ts", "seq"))
-_register("index_remove", f"WITH {LOG}, {LATEST}, {ASKED} SELECT key, ts FROM latest WHERE key NOT IN (SELECT key FROM asked)", lambda s, d: V.index_without(V.latest(event_log(s, d)), asked(s, d)).select("key", "ts"))
+_register("index_remove", f"WITH {LOG}, {LATEST} SELECT key, ts FROM latest WHERE key NOT IN (SELECT s_suppkey::VARCHAR FROM supplier)",
+          lambda s, d: V.index_without(V.latest(event_log(s, d)), s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("key"))).select("key", "ts"))
 _register("locator_read", f"WITH {LOG}, {LATEST} SELECT key, value, ts FROM live",
           lambda s, d: V.read_located(V.locator_index(R.record_offsets(event_runs(s, d))), R.record_offsets(event_runs(s, d))).select("key", "value", "ts"))
 

@@ -238,8 +238,7 @@ class Store:
         newest = V.latest(self._sound(records, late), keys=("p", "key"), order=("ts", "seq", "value"))
         if in_order:
             gone = newest.where(F.col("rec_type") == DELETE).select("p", "key")
-            held = V.live(self.log().join(gone, ["p", "key"], "left_semi"), keys=("p", "key"))
-            newest = newest.join(gone.join(held, ["p", "key"], "left_anti"), ["p", "key"], "left_anti")
+            newest = newest.join(gone.join(self.snapshot(), ["p", "key"], "left_anti"), ["p", "key"], "left_anti")
         self._write_run(newest)
 
     def append(self, records: DataFrame, late: str = "refuse") -> None:
@@ -287,8 +286,34 @@ class Store:
 
     # Reads.
 
+    def _live(self, files: list[dict]) -> DataFrame:
+        """Each key's newest record in ``files`` where that is a write.  A file of data whose keys no other file of its shard meets holds them once, so only the rest is shuffled."""
+        alone: list[dict] = []
+        shards: dict[int, list[dict]] = {}
+        for f in files:
+            shards.setdefault(f["p"], []).append(f)
+        for own in shards.values():
+            own.sort(key=lambda f: f["start_key"])
+            reach = ""  # the largest key of the files before
+            for i, f in enumerate(own):
+                after = own[i + 1]["start_key"] if i + 1 < len(own) else None
+                if f["file_type"] == DATA and (i == 0 or reach < f["start_key"]) and (after is None or f["end_key"] < after):
+                    alone.append(f)
+                reach = max(reach, f["end_key"])
+        taken = {(f["file_type"], f["p"], f["run"]) for f in alone}
+        rest = [f for f in files if (f["file_type"], f["p"], f["run"]) not in taken]
+        out = self._records(alone).where(F.col("rec_type") == WRITE)
+        if not rest:
+            return out
+        data, logs = ([f for f in rest if f["file_type"] == t] for t in (DATA, LOG))
+        mixed = self._records(data) if not logs else self._records(data).unionByName(self._records(logs, LOG))
+        newest = V.live(mixed, keys=("p", "key"))
+        return out.unionByName(newest) if alone else newest
+
     def snapshot(self) -> DataFrame:
-        return V.live(self.log())
+        """The live records."""
+        self._checked()
+        return self._live(self._state().files)
 
     def _found(self, key: str) -> list:
         return V.point_get(self.log(), key, self.config.partitions).select("value").take(1)
@@ -305,16 +330,16 @@ class Store:
         return rows[0][0]
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        # A run holds a key once, so none has many versions here.
-        return V.multi_get(self.log(), keys, self.config.partitions, few_versions=True)
+        """Every asked key (distinct) with its value, null where none is live, and ``found``."""
+        asked = keys.select(partition_of(F.col("key"), self.config.partitions).alias("p"), "key").distinct()
+        rows = asked.join(self.snapshot().select("p", "key", "value", F.lit(True).alias("found")), ["p", "key"], "left")
+        return rows.select("key", "value", F.coalesce("found", F.lit(False)).alias("found"))
 
     def scan(self, start: str, end: str) -> DataFrame:
         """Live records with start <= key < end, from the files whose range meets it."""
         self._checked()
-        meets = lambda f: f["start_key"] < end and start <= f["end_key"]
-        state = self._state()
-        log = self._records([f for f in state.of(DATA) if meets(f)]).unionByName(self._records([f for f in state.of(LOG) if meets(f)], LOG))
-        return V.live(log.where((F.col("key") >= start) & (F.col("key") < end)))
+        files = [f for f in self._state().files if f["start_key"] < end and start <= f["end_key"]]
+        return self._live(files).where((F.col("key") >= start) & (F.col("key") < end))
 
     def partition_of(self, key: str) -> int:
         return literal_partition(key.encode(), self.config.partitions)
@@ -421,7 +446,7 @@ class Store:
             row[1 if f["file_type"] == DATA else 2] += 1
             row[3] += f["n_write"]
             row[4] += f["n_del"]
-        keys = V.live(self.log()).groupBy("p").agg(F.count(F.lit(1)).alias("keys"))
+        keys = self.snapshot().groupBy("p").agg(F.count(F.lit(1)).alias("keys"))
         return self.spark.createDataFrame([tuple(r) for r in rows.values()], schema).join(keys, "p", "left").na.fill(0, ["keys"])
 
     def levels(self) -> DataFrame:
