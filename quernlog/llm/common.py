@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import os
 import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.files import Files
 
 #: Text bytes that one vectorised step works on; bounds a worker's memory whatever the batch size.
 CHUNK_BYTES = 4 << 20
@@ -42,9 +46,33 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+#: Scratch tables of the work at hand (see ``tidied``), and all that are left of this process.
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+_LEFT: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_root(spark)}/quernlog/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder; it is removed when the process ends, if not before."""
+    path = f"{shared_root(spark)}/quernlog/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    if not _LEFT:
+        atexit.register(_sweep)
+    _LEFT[path] = spark
+    return path
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        Files(spark).delete(path)
+        _LEFT.pop(path, None)
+
+
+def _sweep() -> None:
+    for path, spark in list(_LEFT.items()):
+        with contextlib.suppress(Exception):  # the session may be gone
+            Files(spark).delete(path)
 
 
 def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
@@ -56,6 +84,39 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def tidied(spark: SparkSession, name: str, run: Callable[[], DataFrame]) -> DataFrame:
+    """What ``run`` gives, stored; the scratch tables that it made on its way are removed."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        result = stored(run(), name)
+    finally:
+        _MADE.reset(token)
+    removed(spark, made[:-1])
+    outer = _MADE.get()
+    if outer is not None:
+        outer.append(made[-1])
+    return result
+
+
+#: Rows that a broadcast may hold.
+BROADCAST_ROWS = 500_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: int, total: int, weight: str, how: str = "inner") -> DataFrame:
+    """Join ``left`` (``total`` rows) with ``right``: ``rows`` rows, one a key, ``weight`` of left's rows have it.
+
+    A small ``right`` is broadcast.  Else keys with very many rows, of which there can only be few,
+    are, and those rows stay where they are; all others are shuffled.
+    """
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop(weight)), on, how)
+    most = max(10_000, total // 100_000)  # so at most 100,000 keys have more
+    hot, cold = right.where(F.col(weight) > most).drop(weight), right.where(F.col(weight) <= most).drop(weight)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -150,8 +211,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def binary_column(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def binary_parts(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of consecutive parts of ``data``; ``ends``: n + 1 places in it."""
+    raw = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
 
 
 def worker_setup() -> None:

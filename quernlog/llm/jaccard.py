@@ -3,23 +3,29 @@
 1. Every text becomes its set of shingles; equal sets are one class, named by its smallest doc_id.
 2. Prune: a set can have a partner only if enough of its tokens occur elsewhere.  Over the tokens of
    smallest hash this is counted exactly, token by token, in packed arrays dealt by token.
-3. Group: sets that survive are linked to the first of those with which they share a minimum hash,
-   where their Jaccard similarity holds; components of such links are the first groups.
-4. Prune again: only tokens held by sets of *other* groups count now.  Sets left are few.
-5. Token-group matrix: sets left that share one of their rarest tokens make families, cut into groups
-   of bounded size, each with the union of its tokens.  Every two groups of a family are one tile; a
-   set's overlap with the other group's union bounds its similarity to all members there, and only
-   sets that pass are opened, as a product of 0/1 matrices.  A tile returns links that connect what is
-   similar, never all pairs.
-
-Steps 2 and 4 drop only what provably has no (further) partner, so all links between different
-groups are found and components are exact.  Links inside one group need not be enumerated.
+3. Groups: sets left are partitioned into groups of similar ones, by their minimum hash; a group of
+   many is cut into bounded ones.  Each group is one row with its members and, once, the union of
+   their tokens: its row of the token-group matrix.  Members are compared with each other there.
+4. Prune again: only tokens held by sets that are not yet connected count now.
+5. Matrix: a set's rarest tokens, looked up in the groups that hold them, tell which groups may have
+   a partner.  The set's overlap with such a group's union bounds its similarity to all members;
+   first only unions are looked at, and a group's members are opened, as a product of 0/1 matrices,
+   for the sets that qualify.  A set first asks the first and the last group of each of its tokens,
+   which connects large families; what is then still apart (4 once more) asks every group.
+
+Steps 2 and 4 drop only what provably has no (further) partner, and the last pass of 5 asks every
+group that may hold one, so all links between different components are found and components are
+exact.  Links inside a component need not be enumerated, and opened groups return links that connect
+what is similar, never all pairs.
 
 Why 2 is safe: if A and B hold ``overlap >= t * union`` then ``|A - B| <= |A| - ceil(t |A|)``.  Take
 each set's first ``|X| - ceil(t |X|) + l(X)`` tokens in hash order.  The one of A, B whose run ends
 at the smaller hash has at least ``l`` of its tokens in the other, within the other's run as well; so
 both have at least ``min(l(A), l(B))`` tokens there that occur elsewhere, and ``|B| >= t |A|``.
 
+Why 5 is safe: order all tokens alike, rare ones first.  A and B share ``ceil(t |A|)`` tokens at
+least, so the first that they share is among A's first ``|A| - ceil(t |A|) + 1``, and B's likewise.
+
 Defined results: a null or empty text has no shingles and links with nothing; fewer words than
 ``width`` make one shingle; rows with a null doc_id link with nothing and have a null component; rows
 that repeat a doc_id are one node; an empty table gives no rows; extra columns are ignored.
@@ -34,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, encode_slices, flat_text, mixed, ranges, stored, text_chunks, word_slices
+from .common import BROADCAST_ROWS, binary_parts, bounded_batches, encode_slices, flat_text, mixed, ranges, spread_join, stored, text_chunks, tidied, word_slices
 from .components import connected_components
 from .embeddings import joined
 
-#: Entries that one bucket of the prune is meant to hold; rows that a broadcast may hold.
-BUCKET_ENTRIES, BROADCAST_ROWS = 1_000_000, 2_000_000
-#: Tokens that a group of the matrix is meant to hold.
-BLOCK_TOKENS = 100_000
+#: Entries that one bucket of the prune is meant to hold; entries that a task deals at a time.
+BUCKET_ENTRIES, DEAL_ENTRIES = 1_000_000, 500_000
+#: Tokens that a group is meant to hold; sets that ask a group at a time; salts of a lookup.
+GROUP_TOKENS, ASKING, SALTS = 100_000, 256, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MARK = 65535
 
@@ -105,14 +111,20 @@ def set_keys(docs: DataFrame, width: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc, n, tokens (sorted by unsigned value)."""
+    """Per row with a token: doc, n, family (its minimum hash), tokens (sorted by unsigned value)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             tokens, offsets = shingle_sets(chunk.column("text"), width)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["doc", "n", "tokens"])
+            some = np.flatnonzero(np.diff(offsets))
+            family = np.minimum.reduceat(mixed(tokens ^ _STEP), offsets[some]) if len(some) else np.zeros(0, np.uint64)
+            starts = np.append(offsets[some], offsets[-1]).astype(np.int32)  # empty sets hold nothing between
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column("doc_id").cast(pa.int64()).take(pa.array(some)), pa.array(np.diff(starts).astype(np.int64)), pa.array(family.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens.view(np.int64)))],
+                names=["doc", "n", "family", "tokens"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc long, n long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(read, "doc long, n long, family long, tokens array<long>")
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -131,11 +143,30 @@ def _least_repeats(n: F.Column, percent: int) -> F.Column:
 
 
 _PACKED = "bucket int, docs binary, groups binary, owner binary, print binary, local boolean"
+_Chunk = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _gathered(chunks: Iterator[_Chunk]) -> Iterator[_Chunk]:
+    """Chunks (docs, groups, offsets, tokens) put together to DEAL_ENTRIES tokens or so, and to fewer than _MARK sets."""
+    held: list[_Chunk] = []
+    for chunk in chunks:
+        if held and (sum(len(c[0]) for c in held) + len(chunk[0]) >= _MARK or sum(len(c[3]) for c in held) >= DEAL_ENTRIES):
+            yield _together(held)
+            held = []
+        held.append(chunk)
+    if held:
+        yield _together(held)
 
 
-def _packed(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries (token's print, set) by bucket.  A token of several groups within the chunk is settled here: its sets are counted and one mark goes out for it, so a token has at most one such entry a chunk."""
-    for docs, groups, offsets, tokens in chunks:
+def _together(held: list[_Chunk]) -> _Chunk:
+    docs, groups, tokens = (np.concatenate([c[i] for c in held]) for i in (0, 1, 3))
+    sizes = np.concatenate([np.diff(c[2]) for c in held])
+    return docs, groups, np.concatenate([[0], np.cumsum(sizes)]), tokens
+
+
+def _packed(chunks: Iterator[_Chunk], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries (token's print, set) by bucket, for the buckets that have any.  A token of several groups within the chunk is settled here: its sets are counted and one mark goes out for it, so a token has at most one such entry a chunk."""
+    for docs, groups, offsets, tokens in _gathered(chunks):
         owner = np.repeat(np.arange(len(docs), dtype=np.int64), np.diff(offsets))
         order = np.argsort(tokens)
         t, o = tokens[order], owner[order]
@@ -149,32 +180,34 @@ def _packed(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         local = np.bincount(o[settled], minlength=len(docs))
         t = np.concatenate([t[~settled], t[starts[several]]])
         o = np.concatenate([o[~settled], np.full(int(several.sum()), _MARK)])
-        bucket = (t >> np.uint64(32)) % np.uint64(buckets)
+        bucket = ((t >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        t, o, bucket = t[order], o[order], bucket[order].astype(np.int64)
-        ends = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows: list[list] = [[], [], [], [], [], []]
-        for b in range(buckets):
-            a, z = ends[b], ends[b + 1]
-            if z > a:
-                own = o[a:z]
-                used, short = np.unique(own[own != _MARK], return_inverse=True)
-                who = np.full(z - a, _MARK, np.uint16)
-                who[own != _MARK] = short
-                for row, value in zip(rows, (b, docs[used].tobytes(), groups[used].tobytes(), who.tobytes(), t[a:z].astype(np.uint32).tobytes(), False), strict=True):
-                    row.append(value)
+        t, o, bucket = t[order], o[order], bucket[order]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(t))
+        names = bucket[edges[:-1]]
+        real = o != _MARK
+        used, short = np.unique(bucket[real] << 16 | o[real], return_inverse=True)  # each bucket's sets, in order
+        sets = used & _MARK
+        ends = np.append(np.searchsorted(used >> 16, names), len(used))
+        who = np.full(len(o), _MARK, np.uint16)
+        who[real] = short - ends[np.searchsorted(names, bucket[real])]
+        same = bool((docs == groups).all())  # then groups needn't be told
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names.astype(np.int32)), binary_parts(docs[sets], ends), binary_parts(groups[sets], ends * (not same)), binary_parts(who, edges), binary_parts(t.astype(np.uint32), edges), pa.array(np.zeros(len(names), bool))],
+            names=["bucket", "docs", "groups", "owner", "print", "local"],
+        )
         used = np.flatnonzero(local)
         if len(used):
-            for row, value in zip(rows, (int(docs[used[0]] % buckets), docs[used].tobytes(), local[used].astype(np.int64).tobytes(), b"", b"", True), strict=True):
-                row.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["bucket", "docs", "groups", "owner", "print", "local"])
+            row = (int(docs[used[0]] % buckets), docs[used].tobytes(), local[used].astype(np.int64).tobytes(), b"", b"", True)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["bucket", "docs", "groups", "owner", "print", "local"])
 
 
 def _counted(table: pa.Table) -> pa.Table:
     """For one bucket: per set, how many of its tokens there occur in another group.  Prints that agree by chance only raise a count."""
     docs, counts, groups, owners, prints, base = [], [], [], [], [], 0
     for row in table.to_pylist():
-        d, g = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["groups"], np.int64)
+        d = np.frombuffer(row["docs"], np.int64)
+        g = np.frombuffer(row["groups"], np.int64) if row["groups"] else d
         if row["local"]:
             docs.append(d)
             counts.append(g)
@@ -210,8 +243,8 @@ def _text_chunks_packed(width: int, percent: int, buckets: int) -> Callable[[Ite
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks():
             for chunk in text_chunks(batches):
-                for at in range(0, chunk.num_rows, 60_000):
-                    part = chunk.slice(at, 60_000)
+                for at in range(0, chunk.num_rows, 30_000):
+                    part = chunk.slice(at, 30_000)
                     docs = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
                     tokens, offsets = shingle_sets(part.column("text"), width)
                     run = _run_length(np.diff(offsets), percent)
@@ -226,12 +259,9 @@ def _set_chunks_packed(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks():
             for batch in batches:
-                for at in range(0, batch.num_rows, 2_000):
-                    part = batch.slice(at, 2_000)
-                    lists = part.column("tokens")
-                    offsets = lists.offsets.to_numpy().astype(np.int64)
-                    tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                    yield part.column("doc").to_numpy(), part.column("grp").to_numpy(), offsets - offsets[0], tokens
+                lists = batch.column("tokens")
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                yield batch.column("doc").to_numpy(), batch.column("comp").to_numpy(), offsets - offsets[0], lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
         yield from _packed(chunks(), buckets)
 
@@ -243,40 +273,45 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose sets are similar enough."""
-    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return pairs.join(left, "a").join(right, "b").where(near & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)).select("a", "b")
-
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by keys."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in keys:
+            v = table.column(k).to_numpy()
+            change |= v[1:] != v[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(a, z - a)
+        held = table.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held
 
-def _first_links(sets: DataFrame, percent: int, seeds: range) -> DataFrame:
-    """Links to the smallest set with the same minimum hash, for each of some hash functions."""
-    hashed = lambda seed: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(seed))))
-    keys = stored(sets.select("doc", "grp", F.posexplode(F.array(*(hashed(s) for s in seeds))).alias("seed", "key")), "minima")
-    first = keys.groupBy("seed", "key").agg(F.min(F.struct("doc", "grp")).alias("f"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("seed", "key", "f")
-    pairs = keys.join(first, ["seed", "key"]).where("grp <> f.grp").select(F.col("doc").alias("a"), F.col("f.doc").alias("b")).distinct()
-    return _verified(pairs, sets, percent)
 
-
-def _pack(key: tuple, table: pa.Table) -> pa.Table:
-    n = table.column("n").to_numpy()
-    head = np.concatenate([table.column("doc").to_numpy(), table.column("grp").to_numpy(), n]).astype(np.int64)
-    raw = head.tobytes() + table.column("tokens").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes()
-    return pa.table({"family": key[0:1], "blk": key[1:2], "x": pa.array([raw], pa.binary()), "sets": pa.array([len(n)], pa.int64())})
+def _members(table: pa.Table) -> bytes:
+    """Sets (doc, comp, n, tokens) as one value."""
+    head = [table.column(c).to_numpy() for c in ("doc", "comp", "n")]
+    return np.concatenate(head).astype(np.int64).tobytes() + table.column("tokens").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes()
 
 
 class _Group:
-    """A block of similar sets: its row of the token-group matrix is ``union``."""
+    """Sets that are compared as one; ``union`` is a group's row of the token-group matrix."""
 
-    def __init__(self, raw: bytes, sets: int):
+    def __init__(self, raw: bytes, sets: int, union: np.ndarray | None = None):
         head = np.frombuffer(raw, np.int64, 3 * sets)
         self.docs, self.groups, self.n = head[:sets], head[sets : 2 * sets], head[2 * sets :]
         self.tokens = np.frombuffer(raw, np.uint64, offset=24 * sets)
         self.owner = np.repeat(np.arange(sets), self.n)
-        self.union = np.unique(self.tokens)
+        self.union = np.unique(self.tokens) if union is None else union
+
+    def only(self, which: np.ndarray) -> bytes:
+        """Some of the sets, packed again."""
+        own = np.zeros(len(self.n), bool)
+        own[which] = True
+        return np.concatenate([self.docs[own], self.groups[own], self.n[own]]).tobytes() + self.tokens[own[self.owner]].tobytes()
 
     def overlap(self, union: np.ndarray) -> np.ndarray:
         """Each set's overlap with a union: no member of that group can share more."""
@@ -312,75 +347,149 @@ def open_groups(one: _Group, two: _Group, percent: int) -> Iterator[tuple[np.nda
         yield rows[i], cols[j]
 
 
-def _tiles(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _connected(docs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    moved = np.flatnonzero(labels != np.arange(len(labels)))
+    return docs[moved], docs[labels[moved]]
+
+
+def _built(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["grp"]):
+            raw = _members(table)
+            group = _Group(raw, table.num_rows)
+            labels = np.arange(table.num_rows)
+            if table.num_rows > 1:
+                for a, b in open_groups(group, group, percent):
+                    labels = joined(labels, a, b)
+            la, lb = _connected(group.docs, labels)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([table.column("grp")[0].as_py()], pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([raw], pa.binary()), pa.array([group.union.tobytes()], pa.binary()), pa.array([la], pa.list_(pa.int64())), pa.array([lb], pa.list_(pa.int64()))],
+                names=["grp", "sets", "x", "u", "la", "lb"],
+            )
+
+    return build
+
+
+def token_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """The groups of ``sets`` (doc, comp, grp, n, tokens): grp, sets, x (members), u (union), and links la, lb between members of different components."""
+    dealt = sets.select("grp", "doc", "comp", "n", "tokens").repartition("grp").sortWithinPartitions("grp")
+    return dealt.mapInArrow(_built(percent), "grp long, sets long, x binary, u binary, la array<long>, lb array<long>")
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _runs(batches, ["grp", "blk"]):
+        yield pa.RecordBatch.from_arrays([pa.array([table.column("grp")[0].as_py()], pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([_members(table)], pa.binary())], names=["grp", "asking", "q"])
+
+
+def _bounded(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the sets that ask a group those that its union lets qualify."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                same, n, m, x, y = (batch.column(c)[k] for c in ("same", "n", "m", "x", "y"))
-                one = _Group(x.as_buffer(), n.as_py())
-                two = one if same.as_py() else _Group(y.as_buffer(), m.as_py())
-                shift = 0 if same.as_py() else len(one.n)
-                labels = np.arange(shift + len(two.n))
-                for a, b in open_groups(one, two, percent):
-                    labels = joined(labels, a, b + shift)
-                docs = one.docs if same.as_py() else np.concatenate([one.docs, two.docs])
-                moved = np.flatnonzero(labels != np.arange(len(labels)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[moved]), pa.array(docs[labels[moved]])], names=["a", "b"])
+                own = _Group(batch.column("q")[k].as_buffer(), batch.column("asking")[k].as_py(), np.zeros(0, np.uint64))
+                fits = np.flatnonzero(own.overlap(np.frombuffer(batch.column("u")[k].as_buffer(), np.uint64)) * 100 >= own.n * percent)
+                if len(fits):
+                    yield pa.RecordBatch.from_arrays([batch.column("grp").slice(k, 1), pa.array([len(fits)], pa.int64()), pa.array([own.only(fits)], pa.binary())], names=["grp", "asking", "q"])
 
-    return work
+    return bound
 
 
-def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect sets of different groups wherever such sets are similar (step 5)."""
-    flat = sets.select("doc", "grp", "n", F.explode("tokens").alias("t"))
-    shared = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("t", "df")
-    # A set's rarest n - needed + 1 tokens; those that no other group holds come first, and find nothing.
-    found = flat.join(shared, "t").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+def _opened(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = _Group(batch.column("q")[k].as_buffer(), batch.column("asking")[k].as_py())
+                two = _Group(batch.column("x")[k].as_buffer(), batch.column("sets")[k].as_py(), np.frombuffer(batch.column("u")[k].as_buffer(), np.uint64))
+                labels = np.arange(len(one.n) + len(two.n))
+                for a, b in open_groups(one, two, percent):
+                    labels = joined(labels, a, b + len(one.n))
+                la, lb = _connected(np.concatenate([one.docs, two.docs]), labels)
+                if len(la):
+                    yield pa.RecordBatch.from_arrays([pa.array(la), pa.array(lb)], names=["a", "b"])
+
+    return open_
+
+
+def matrix_links(sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) that the token-group matrix finds between ``sets`` (doc, comp, grp, n, tokens) of different components: from ``every`` group that may hold a partner, or from the first and last group of each token only."""
+    groups = stored(token_groups(sets, percent), "groups")
+    flat = sets.select("doc", "grp", "n", "comp", F.explode("tokens").alias("t"))
+    shared = stored(flat.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("t", "df", F.col("df").alias("w")), "shared")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    found = spread_join(flat.drop("comp"), shared, ["t"], shared.count(), total, "w").groupBy("doc", "grp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    # Tokens that no other component holds come first, and find nothing.
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    rare = stored(found.where(spare > 0).select("doc", F.explode(F.slice("s", F.lit(1), spare.cast("int"))).alias("x")).select("doc", F.col("x.t").alias("t")), "rare")
-    first = rare.groupBy("t").agg(F.min("doc").alias("b"))
-    families = stored(connected_components(rare.join(first, "t").select(F.col("doc").alias("a"), "b")).withColumnRenamed("node", "doc").withColumnRenamed("component", "family"), "families")
-    own = stored(sets.join(families, "doc"), "members")
-    sizes = own.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
-    dealt = own.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    packed = stored(dealt.select("family", "blk", "doc", "grp", "n", "tokens").groupBy("family", "blk").applyInArrow(_pack, "family long, blk long, x binary, sets long").join(sizes, "family"), "blocks")
-    left = packed.select("family", F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.col("blocks") - 1)).alias("j"), F.col("sets").alias("n"), "x")
-    right = packed.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blk"))).alias("i"), F.col("blk").alias("j"), F.col("sets").alias("m"), F.col("x").alias("y"))
-    tiles = left.join(right, ["family", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "n", "m", "x", "y")
-    return tiles.mapInArrow(_tiles(percent), "a long, b long")
+    rare = stored(found.where(spare > 0).select("doc", "grp", F.explode(F.slice("s", F.lit(1), spare.cast("int"))).alias("x")).select("doc", "grp", F.col("x.t").alias("t")), "rare")
+    if every:
+        index = rare.select("t", F.col("grp").alias("other")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = rare.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(index, ["t", "salt"])
+    else:
+        ends = stored(rare.groupBy("t").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count(F.lit(1)).alias("w")).where("g0 <> g1"), "ends")
+        pairs = spread_join(rare, ends, ["t"], ends.count(), rare.count(), "w").withColumn("other", F.explode(F.array("g0", "g1")))
+    pairs = stored(pairs.where("other <> grp").select("doc", "other").distinct(), "pairs")
+    many = stored(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") > ASKING).select("other", F.ceil(F.col("w") / ASKING).alias("blocks")), "many")
+    dealt = pairs.join(_small(many, many.count()), "other", "left").select("doc", F.col("other").alias("grp"), F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).alias("blk"))
+    asking = dealt.join(sets.select("doc", "comp", "n", "tokens"), "doc").repartition("grp", "blk").sortWithinPartitions("grp", "blk").select("grp", "blk", "doc", "comp", "n", "tokens")
+    asking = asking.mapInArrow(_asked, "grp long, asking long, q binary")
+    fits = asking.join(groups.select("grp", "u"), "grp").mapInArrow(_bounded(percent), "grp long, asking long, q binary")
+    opened = fits.join(groups.select("grp", "sets", "x", "u"), "grp").mapInArrow(_opened(percent), "a long, b long")
+    inside = groups.select(F.explode(F.arrays_zip("la", "lb")).alias("z")).select(F.col("z.la").alias("a"), F.col("z.lb").alias("b"))
+    return opened.union(inside)
+
+
+def _apart(sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
+    """The ``sets`` that may have a partner in another component of ``links``, with their component."""
+    if links is not None:
+        groups = connected_components(links)
+        sets = sets.drop("comp").join(_small(groups.withColumnRenamed("node", "doc"), groups.count()), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        sets = stored(sets, "grouped")
+    buckets = max(32, int(sets.agg(F.sum("n")).first()[0] or 0) // BUCKET_ENTRIES + 1)
+    foreign = _repeats(sets.select("doc", "comp", "tokens").mapInArrow(_set_chunks_packed(buckets), _PACKED))
+    return stored(sets.join(foreign, "doc").where(F.col("hits") * 100 >= F.col("n") * percent).drop("hits"), "apart")
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect ``sets`` (doc, n, family, tokens) wherever they are similar."""
+    large = stored(sets.groupBy("family").agg(F.sum("n").alias("s")).where(F.col("s") > GROUP_TOKENS).select("family", F.ceil(F.col("s") / GROUP_TOKENS).alias("blocks")), "large")
+    parted = sets.join(_small(large, large.count()), "family", "left")
+    part = F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1)))
+    sets = stored(parted.select("doc", "n", F.xxhash64("family", part).alias("grp"), "tokens", F.col("doc").alias("comp")), "parted")
+    inside = token_groups(sets, percent).select(F.explode(F.arrays_zip("la", "lb")).alias("z")).select(F.col("z.la").alias("a"), F.col("z.lb").alias("b"))
+    links = stored(inside, "inside")
+    for every in (False, True):
+        sets = _apart(sets, links, percent)
+        if sets.isEmpty():
+            break
+        links = links.union(stored(matrix_links(sets, percent, every), "links"))
+    return links
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable over pairs with Jaccard similarity of at least ``percent``)."""
     bounded_batches(docs.sparkSession)
+    return tidied(docs.sparkSession, "similar", lambda: _similar(docs, width, percent))
+
+
+def _similar(docs: DataFrame, width: int, percent: int) -> DataFrame:
     keyed = stored(set_keys(docs, width), "keys")
-    total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
+    rows, total = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     buckets = max(32, int(total * 0.4) // BUCKET_ENTRIES + 1)
-    classes = keyed.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes, "classes")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    classes = stored(keyed.where(linked).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     hits = _repeats(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_text_chunks_packed(width, percent, buckets), _PACKED))
-    left = stored(classes.join(hits, "doc").where(F.col("hits") >= _least_repeats(F.col("n"), percent)).select("doc"), "left")
-    chosen = left.distinct()
-    sets = stored(token_sets(docs.join(_small(chosen.withColumnRenamed("doc", "doc_id"), left.count()), "doc_id", "left_semi"), width).where("n > 0").withColumn("grp", F.col("doc")), "sets")
-    set_buckets = max(32, int(sets.agg(F.sum("n")).first()[0] or 0) // BUCKET_ENTRIES + 1)
-    links, held = None, sets
-    for seeds in (range(0, 6), range(6, 10)):
-        links_now = stored(_first_links(held, percent, seeds), "links")
-        links = links_now if links is None else links.union(links_now)
-        groups = stored(connected_components(links), "groups")
-        grouped = sets.drop("grp").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("grp", F.coalesce("component", "doc")).drop("component")
-        grouped = stored(grouped, "grouped")
-        foreign = _repeats(grouped.select("doc", "grp", "tokens").mapInArrow(_set_chunks_packed(set_buckets), _PACKED))
-        held = stored(grouped.join(foreign, "doc").where(F.col("hits") * 100 >= F.col("n") * percent).drop("hits"), "held")
-    links = links.union(stored(_matrix_links(held, percent), "links"))
-    component = connected_components(links)
-    name = classes.join(component, F.col("doc") == F.col("node"), "left").where("copies > 1 or node is not null").select("k1", "k2", F.coalesce("component", "doc").alias("c"))
-    rows = keyed.withColumn("linked", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    return rows.join(name.withColumn("linked", F.lit(True)), ["k1", "k2", "linked"], "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("c")), "doc_id").alias("component_id"))
+    left = stored(classes.join(hits, "doc").where(F.col("hits") >= _least_repeats(F.col("n"), percent)).select(F.col("doc").alias("doc_id")).distinct(), "left")
+    # Rows that repeat a doc_id with other texts are other sets of one node.
+    sets = stored(token_sets(docs.join(_small(left, left.count()), "doc_id", "left_semi"), width), "sets")
+    component = connected_components(_links(sets, percent))
+    named = classes.join(component, F.col("doc") == F.col("node"), "left").where("copies > 1 or node is not null")
+    named = stored(named.select("k1", "k2", F.coalesce("component", "doc").alias("c"), F.col("copies").alias("w")), "named")
+    alone = keyed.where(~linked).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("c"))
+    rest = spread_join(keyed.where(linked), named, ["k1", "k2"], named.count(), rows, "w", "left").select("doc_id", "n_shingles", "c")
+    return rest.unionByName(alone).select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, but those of similar documents with a smaller doc_id.  Rows with a null doc_id stay."""
-    gone = stored(similar_documents(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    gone = tidied(docs.sparkSession, "gone", lambda: similar_documents(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quernlog.llm import common, components, embeddings, jaccard, mixing, quality, toxicity
 
@@ -71,12 +72,77 @@ def test_matrix_opens_exactly_the_similar_pairs():
         raw = np.concatenate([which, np.array(which) % 7, n]).astype(np.int64).tobytes() + np.concatenate([sets[i] for i in which]).tobytes()
         return jaccard._Group(raw, len(which))
 
+    some = jaccard._Group(group([3, 5, 90]).only(np.array([0, 2])), 2)
+    assert some.docs.tolist() == [3, 90] and some.tokens.tolist() == [*sets[3].tolist(), *sets[90].tolist()]
     one, two = list(range(0, 120, 2)), list(range(1, 120, 2))
     found = {(one[i], two[j]) for a, b in jaccard.open_groups(group(one), group(two), 60) for i, j in zip(a, b, strict=True)}
     want = {(i, j) for i in one for j in two if i % 7 != j % 7 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
     assert found == want and want
 
 
+@pytest.mark.parametrize(("buckets", "deal"), [(7, 200), (5000, 10**6)])
+def test_prune_counts_tokens_of_other_groups(buckets, deal, monkeypatch):
+    """Whatever the buckets are, every set's tokens that occur in another group are counted, with at most a row for each entry."""
+    monkeypatch.setattr(jaccard, "DEAL_ENTRIES", deal)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 60))).astype(np.uint64) for _ in range(80)]
+    sets = [common.mixed(s) for s in sets]
+    comp = np.arange(80) // 2
+
+    def chunks():
+        for a in range(0, 80, 16):
+            part = sets[a : a + 16]
+            yield np.arange(a, a + 16), comp[a : a + 16], np.concatenate([[0], np.cumsum([len(s) for s in part])]), np.concatenate(part)
+
+    batches = list(jaccard._packed(chunks(), buckets))
+    table = pa.Table.from_batches(batches)
+    assert table.num_rows <= sum(map(len, sets)) and (buckets < 100 or table.num_rows > 500)
+    hits = collections.Counter()
+    for b in set(table.column("bucket").to_pylist()):
+        out = jaccard._counted(table.filter(pa.array([x == b for x in table.column("bucket").to_pylist()])))
+        for d, n in zip(out.column("doc").to_pylist(), out.column("hits").to_pylist(), strict=True):
+            hits[d] += n
+    for i, s in enumerate(sets):
+        other = set().union(*(sets[j].tolist() for j in range(80) if comp[j] != comp[i]))
+        assert hits[i] == sum(t in other for t in s.tolist())
+
+
+def test_matrix_finds_links_between_groups(spark, monkeypatch):
+    """Sets with one common part and edits, each a component of its own, in groups that cut families apart."""
+    rng = np.random.default_rng(5)
+    rows, sets = [], []
+    for f in range(12):
+        base = common.mixed(np.arange(1000 * f, 1000 * f + 60).astype(np.uint64))
+        for _ in range(12):
+            s = np.unique(np.concatenate([rng.choice(base, 60 - rng.integers(0, 10), replace=False), common.mixed(rng.integers(10**6, 2 * 10**6, rng.integers(0, 9)).astype(np.uint64))]))
+            rows.append((len(sets), len(sets), int(rng.integers(0, 9)), len(s), s.view(np.int64).tolist()))
+            sets.append(set(s.tolist()))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    table = spark.createDataFrame(rows, "doc long, comp long, grp long, n long, tokens array<long>")
+    for bound in (jaccard.ASKING, 3):
+        monkeypatch.setattr(jaccard, "ASKING", bound)
+        links = [tuple(r) for r in jaccard.matrix_links(table, 80, True).collect()]
+        across = [(a, b) for a, b in links if rows[a][2] != rows[b][2]]
+        assert len(near) > 100 and len(across) > 20 and classes(range(len(sets)), links) == classes(range(len(sets)), near)
+        first = [tuple(r) for r in jaccard.matrix_links(table, 80, False).collect()]
+        known = classes(range(len(sets)), near)
+        assert first and all(known[a] == known[b] for a, b in first)
+
+
+def test_spread_join_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    left = spark.range(30_000).select(F.when(F.col("id") < 15_000, F.lit(7)).otherwise(F.col("id")).cast("long").alias("k"), "id")
+    right = left.where("k % 2 = 1").groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("id").alias("m"))
+    for how, n in (("inner", 15_000 + 7_500), ("left", 30_000)):
+        got = common.spread_join(left, right, ["k"], right.count(), 30_000, "w", how)
+        assert got.count() == n and got.where("m is not null").count() == 22_500 and got.columns == ["k", "id", "m"]
+
+
+def test_scratch_tables_are_removed(spark, docs_of, prose):
+    left = len(common._LEFT)
+    assert jaccard.similar_documents(docs_of(prose)).count() == len(prose) and len(common._LEFT) == left + 1
+
+
 def test_similar_edge_cases(edge, none):
     got = jaccard.similar_documents(edge).collect()
     assert len(got) == edge.count()
@@ -122,9 +188,20 @@ def test_near_vectors(spark):
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 16)) * rng.choice([1e-9, 1, 1e9], (200, 1))
-    q = embeddings.Quantised(np.zeros(400, np.int64).tobytes() + x.tobytes(), 200, 16)
-    error = np.abs(q.unit @ q.unit.T - (q.q @ q.q.T) * q.step[:, None] * q.step)
-    assert (error <= q.error[:, None] * q.norm + q.norm[:, None] * q.error + q.error[:, None] * q.error).all()
+    x[100:] = x[:100] + rng.normal(size=(100, 16)) * np.abs(x[:100]).max(1, keepdims=True) * 0.2
+    q, step, error, norm = embeddings.quantised(x)
+    assert q.dtype == np.int8
+    block = embeddings.Quantised(np.zeros(400, np.int64).tobytes() + np.concatenate([step, error, norm]).tobytes() + q.tobytes(), 200, 16)
+    unit = embeddings.unit_vectors(x)
+    assert (np.abs(unit @ unit.T - (block.q @ block.q.T) * block.step[:, None] * block.step) <= block.error[:, None] * block.norm + block.norm[:, None] * block.error + block.error[:, None] * block.error).all()
+    for threshold in (0.9, 0.5, 0.0, -0.3):
+        judged = {(i, j): s for a, b, sure in embeddings.judged_pairs(block, block, True, threshold) for i, j, s in zip(a, b, sure, strict=True)}
+        for i in range(200):
+            for j in range(i + 1, 200):
+                near = unit[i] @ unit[j] >= threshold
+                assert not near or (i, j) in judged
+                assert near or not judged.get((i, j))
+    assert 0 < len(judged)
 
 
 def labelled(spark, docs_of, texts, name, values):
