@@ -10,8 +10,9 @@
 5. Matrix: a set's rarest tokens, looked up in the groups that hold them, tell which groups may have
    a partner.  The set's overlap with such a group's union bounds its similarity to all members;
    first only unions are looked at, and a group's members are opened, as a product of 0/1 matrices,
-   for the sets that qualify.  A set first asks the first and the last group of each of its tokens,
-   which connects large families; what is then still apart (4 once more) asks every group.
+   for the sets that qualify.  Of two components the smaller one's sets ask.  For each of its tokens a
+   set first asks the group with the largest component, which connects large families; what is then
+   still apart (4 once more) asks once more, and at last asks every group.
 
 Steps 2 and 4 drop only what provably has no (further) partner, and the last pass of 5 asks every
 group that may hold one, so all links between different components are found and components are
@@ -47,7 +48,7 @@ from .embeddings import joined
 #: Entries that one bucket of the prune is meant to hold; entries that a task deals at a time.
 BUCKET_ENTRIES, DEAL_ENTRIES = 1_000_000, 500_000
 #: Tokens that a group is meant to hold; sets that ask a group at a time; salts of a lookup.
-GROUP_TOKENS, ASKING, SALTS = 100_000, 256, 8
+GROUP_TOKENS, ASKING, SALTS = 100_000, 64, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MARK = 65535
 
@@ -412,21 +413,30 @@ def _opened(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def matrix_links(sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links (a, b) that the token-group matrix finds between ``sets`` (doc, comp, grp, n, tokens) of different components: from ``every`` group that may hold a partner, or from the first and last group of each token only."""
+    """Links (a, b) that the token-group matrix finds between ``sets`` (doc, comp, grp, n, tokens) of different components.
+
+    Of two components the smaller one's sets ask the larger one's groups: ``every`` group that may
+    hold a partner, or of each token only the group with the largest component.
+    """
     groups = stored(token_groups(sets, percent), "groups")
-    flat = sets.select("doc", "grp", "n", "comp", F.explode("tokens").alias("t"))
+    total, n_sets = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    sizes = stored(sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("w")), "sizes")
+    sized = spread_join(sets.select("doc", "comp", "grp", "n", "tokens"), sizes, ["comp"], sizes.count(), n_sets, "w")
+    own = ["doc", "grp", "comp", "size"]
+    flat = sized.select(*own, "n", F.explode("tokens").alias("t"))
     shared = stored(flat.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("t", "df", F.col("df").alias("w")), "shared")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    found = spread_join(flat.drop("comp"), shared, ["t"], shared.count(), total, "w").groupBy("doc", "grp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    found = spread_join(flat, shared, ["t"], shared.count(), total, "w").groupBy(*own, "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
     # Tokens that no other component holds come first, and find nothing.
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    rare = stored(found.where(spare > 0).select("doc", "grp", F.explode(F.slice("s", F.lit(1), spare.cast("int"))).alias("x")).select("doc", "grp", F.col("x.t").alias("t")), "rare")
+    rare = stored(found.where(spare > 0).select(*own, F.explode(F.slice("s", F.lit(1), spare.cast("int"))).alias("x")).select(*own, F.col("x.t").alias("t")), "rare")
     if every:
-        index = rare.select("t", F.col("grp").alias("other")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        index = rare.groupBy("t", F.col("grp").alias("other")).agg(F.max(F.struct("size", "comp")).alias("top")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pairs = rare.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(index, ["t", "salt"])
     else:
-        ends = stored(rare.groupBy("t").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count(F.lit(1)).alias("w")).where("g0 <> g1"), "ends")
-        pairs = spread_join(rare, ends, ["t"], ends.count(), rare.count(), "w").withColumn("other", F.explode(F.array("g0", "g1")))
+        tops = stored(rare.groupBy("t").agg(F.max(F.struct("size", "comp", "grp")).alias("top"), F.count(F.lit(1)).alias("w")).where("w > 1"), "tops")
+        pairs = spread_join(rare, tops, ["t"], tops.count(), rare.count(), "w").withColumn("other", F.col("top.grp"))
+    smaller = (F.col("size") < F.col("top.size")) | ((F.col("size") == F.col("top.size")) & (F.col("comp") < F.col("top.comp")))
+    pairs = pairs.where(smaller)
     pairs = stored(pairs.where("other <> grp").select("doc", "other").distinct(), "pairs")
     many = stored(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") > ASKING).select("other", F.ceil(F.col("w") / ASKING).alias("blocks")), "many")
     dealt = pairs.join(_small(many, many.count()), "other", "left").select("doc", F.col("other").alias("grp"), F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).alias("blk"))
@@ -457,7 +467,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     sets = stored(parted.select("doc", "n", F.xxhash64("family", part).alias("grp"), "tokens", F.col("doc").alias("comp")), "parted")
     inside = token_groups(sets, percent).select(F.explode(F.arrays_zip("la", "lb")).alias("z")).select(F.col("z.la").alias("a"), F.col("z.lb").alias("b"))
     links = stored(inside, "inside")
-    for every in (False, True):
+    for every in (False, False, True):
         sets = _apart(sets, links, percent)
         if sets.isEmpty():
             break
