@@ -3,8 +3,8 @@
 1. Every text becomes its set of shingles; equal sets are one class, named by its smallest doc_id.
 2. Prune: a set can have a partner only if enough of its tokens occur elsewhere.  Over the tokens of
    smallest hash this is counted exactly, token by token, in packed arrays dealt by token.
-3. Groups: sets left are partitioned into groups of similar ones, by their minimum hash; a group of
-   many is cut into bounded ones.  Each group is one row with its members and, once, the union of
+3. Groups: sets left are partitioned into groups of similar ones, by their minimum hash (later by
+   that of the tokens that may still link); a group of many is cut into bounded ones.  Each group is one row with its members and, once, the union of
    their tokens: its row of the token-group matrix.  Members are compared with each other there.
 4. Prune again: only tokens held by sets that are not yet connected count now.
 5. Matrix: a set's rarest tokens, looked up in the groups that hold them, tell which groups may have
@@ -12,7 +12,7 @@
    first only unions are looked at, and a group's members are opened, as a product of 0/1 matrices,
    for the sets that qualify.  Of two components the smaller one's sets ask.  For each of its tokens a
    set first asks the group with the largest component, which connects large families; what is then
-   still apart (4 once more) asks once more, and at last asks every group.
+   still apart (4 once more) asks every group.
 
 Steps 2 and 4 drop only what provably has no (further) partner, and the last pass of 5 asks every
 group that may hold one, so all links between different components are found and components are
@@ -49,6 +49,8 @@ from .embeddings import joined
 BUCKET_ENTRIES, DEAL_ENTRIES = 1_000_000, 500_000
 #: Tokens that a group is meant to hold; sets that ask a group at a time; salts of a lookup.
 GROUP_TOKENS, ASKING, SALTS = 100_000, 64, 8
+#: Tokens whose sets a file of the matrix' tables is meant to hold, and the fewest files.
+FILE_TOKENS, LEAST_FILES = 500_000, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MARK = 65535
 
@@ -325,7 +327,13 @@ def open_groups(one: _Group, two: _Group, percent: int) -> Iterator[tuple[np.nda
     rows, cols = (np.flatnonzero(a.overlap(b.union) * 100 >= a.n * percent) for a, b in ((one, two), (two, one)))
     if not len(rows) or not len(cols):
         return
-    both = np.intersect1d(one.union, two.union, assume_unique=True)
+    if one is two:  # tokens that several members hold
+        both, held = np.unique(one.tokens, return_counts=True)
+        both = both[held > 1]
+    else:
+        both = np.intersect1d(one.union, two.union, assume_unique=True)
+    if not len(both):
+        return
     shared = np.zeros((len(rows), len(cols)), np.float32)
     places = []
     for g, chosen in ((one, rows), (two, cols)):
@@ -412,33 +420,45 @@ def _opened(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return open_
 
 
+def _parted(sets: DataFrame) -> DataFrame:
+    """``sets`` (family, doc, n and more) with the group ``grp`` instead of the family, which is cut where it is large."""
+    large = stored(sets.groupBy("family").agg(F.sum("n").alias("s")).where(F.col("s") > GROUP_TOKENS).select("family", F.ceil(F.col("s") / GROUP_TOKENS).alias("blocks")), "large", LEAST_FILES)
+    part = F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1)))
+    return sets.join(_small(large, large.count()), "family", "left").withColumn("grp", F.xxhash64("family", part)).drop("family", "blocks")
+
+
 def matrix_links(sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links (a, b) that the token-group matrix finds between ``sets`` (doc, comp, grp, n, tokens) of different components.
+    """Links (a, b) that the token-group matrix finds between ``sets`` (doc, comp, n, tokens) of different components.
 
-    Of two components the smaller one's sets ask the larger one's groups: ``every`` group that may
-    hold a partner, or of each token only the group with the largest component.
+    Groups are made anew, by the minimum hash of the tokens that several components hold, so that sets
+    with a common passage meet in few groups.  Of two components the smaller one's sets ask the larger
+    one's groups: ``every`` group that may hold a partner, or of each token only the group with the
+    largest component.
     """
-    groups = stored(token_groups(sets, percent), "groups")
     total, n_sets = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    sizes = stored(sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("w")), "sizes")
-    sized = spread_join(sets.select("doc", "comp", "grp", "n", "tokens"), sizes, ["comp"], sizes.count(), n_sets, "w")
-    own = ["doc", "grp", "comp", "size"]
-    flat = sized.select(*own, "n", F.explode("tokens").alias("t"))
-    shared = stored(flat.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("t", "df", F.col("df").alias("w")), "shared")
-    found = spread_join(flat, shared, ["t"], shared.count(), total, "w").groupBy(*own, "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    files = max(LEAST_FILES, total // FILE_TOKENS)
+    sizes = stored(sets.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("w")), "sizes", files)
+    sized = spread_join(sets.select("doc", "comp", "n", "tokens"), sizes, ["comp"], sizes.count(), n_sets, "w")
+    own = ["doc", "comp", "size", "n"]
+    flat = sized.select(*own, F.explode("tokens").alias("t"))
+    shared = stored(flat.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("t", "df", F.col("df").alias("w")), "shared", files)
+    found = spread_join(flat, shared, ["t"], shared.count(), total, "w").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    found = stored(_parted(found.withColumn("family", F.array_min(F.transform("s", lambda x: F.xxhash64(x["t"], F.lit(3)))))), "found", files)
+    sets = sets.select("doc", "comp", "n", "tokens").join(found.select("doc", "grp"), "doc")
+    groups = stored(token_groups(sets, percent), "groups", files)
     # Tokens that no other component holds come first, and find nothing.
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    rare = stored(found.where(spare > 0).select(*own, F.explode(F.slice("s", F.lit(1), spare.cast("int"))).alias("x")).select(*own, F.col("x.t").alias("t")), "rare")
+    rare = stored(found.where(spare > 0).select("doc", "grp", "comp", "size", F.explode(F.slice("s", F.lit(1), spare.cast("int"))).alias("x")).select("doc", "grp", "comp", "size", F.col("x.t").alias("t")), "rare", files)
     if every:
         index = rare.groupBy("t", F.col("grp").alias("other")).agg(F.max(F.struct("size", "comp")).alias("top")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pairs = rare.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(index, ["t", "salt"])
     else:
-        tops = stored(rare.groupBy("t").agg(F.max(F.struct("size", "comp", "grp")).alias("top"), F.count(F.lit(1)).alias("w")).where("w > 1"), "tops")
+        tops = stored(rare.groupBy("t").agg(F.max(F.struct("size", "comp", "grp")).alias("top"), F.count(F.lit(1)).alias("w")).where("w > 1"), "tops", files)
         pairs = spread_join(rare, tops, ["t"], tops.count(), rare.count(), "w").withColumn("other", F.col("top.grp"))
     smaller = (F.col("size") < F.col("top.size")) | ((F.col("size") == F.col("top.size")) & (F.col("comp") < F.col("top.comp")))
     pairs = pairs.where(smaller)
-    pairs = stored(pairs.where("other <> grp").select("doc", "other").distinct(), "pairs")
-    many = stored(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") > ASKING).select("other", F.ceil(F.col("w") / ASKING).alias("blocks")), "many")
+    pairs = stored(pairs.where("other <> grp").select("doc", "other").distinct(), "pairs", files)
+    many = stored(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") > ASKING).select("other", F.ceil(F.col("w") / ASKING).alias("blocks")), "many", LEAST_FILES)
     dealt = pairs.join(_small(many, many.count()), "other", "left").select("doc", F.col("other").alias("grp"), F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).alias("blk"))
     asking = dealt.join(sets.select("doc", "comp", "n", "tokens"), "doc").repartition("grp", "blk").sortWithinPartitions("grp", "blk").select("grp", "blk", "doc", "comp", "n", "tokens")
     asking = asking.mapInArrow(_asked, "grp long, asking long, q binary")
@@ -450,24 +470,23 @@ def matrix_links(sets: DataFrame, percent: int, every: bool) -> DataFrame:
 
 def _apart(sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
     """The ``sets`` that may have a partner in another component of ``links``, with their component."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    files = max(LEAST_FILES, total // FILE_TOKENS)
     if links is not None:
         groups = connected_components(links)
         sets = sets.drop("comp").join(_small(groups.withColumnRenamed("node", "doc"), groups.count()), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-        sets = stored(sets, "grouped")
-    buckets = max(32, int(sets.agg(F.sum("n")).first()[0] or 0) // BUCKET_ENTRIES + 1)
+        sets = stored(sets, "grouped", files)
+    buckets = max(32, int(total) // BUCKET_ENTRIES + 1)
     foreign = _repeats(sets.select("doc", "comp", "tokens").mapInArrow(_set_chunks_packed(buckets), _PACKED))
-    return stored(sets.join(foreign, "doc").where(F.col("hits") * 100 >= F.col("n") * percent).drop("hits"), "apart")
+    return stored(sets.join(foreign, "doc").where(F.col("hits") * 100 >= F.col("n") * percent).drop("hits"), "apart", files)
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect ``sets`` (doc, n, family, tokens) wherever they are similar."""
-    large = stored(sets.groupBy("family").agg(F.sum("n").alias("s")).where(F.col("s") > GROUP_TOKENS).select("family", F.ceil(F.col("s") / GROUP_TOKENS).alias("blocks")), "large")
-    parted = sets.join(_small(large, large.count()), "family", "left")
-    part = F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1)))
-    sets = stored(parted.select("doc", "n", F.xxhash64("family", part).alias("grp"), "tokens", F.col("doc").alias("comp")), "parted")
+    sets = stored(_parted(sets).withColumn("comp", F.col("doc")), "parted")
     inside = token_groups(sets, percent).select(F.explode(F.arrays_zip("la", "lb")).alias("z")).select(F.col("z.la").alias("a"), F.col("z.lb").alias("b"))
     links = stored(inside, "inside")
-    for every in (False, False, True):
+    for every in (False, True):
         sets = _apart(sets, links, percent)
         if sets.isEmpty():
             break

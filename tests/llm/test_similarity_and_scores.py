@@ -115,17 +115,17 @@ def test_matrix_finds_links_between_groups(spark, monkeypatch):
         base = common.mixed(np.arange(1000 * f, 1000 * f + 60).astype(np.uint64))
         for _ in range(12):
             s = np.unique(np.concatenate([rng.choice(base, 60 - rng.integers(0, 10), replace=False), common.mixed(rng.integers(10**6, 2 * 10**6, rng.integers(0, 9)).astype(np.uint64))]))
-            rows.append((len(sets), len(sets), int(rng.integers(0, 9)), len(s), s.view(np.int64).tolist()))
+            rows.append((len(sets), len(sets), len(s), s.view(np.int64).tolist()))
             sets.append(set(s.tolist()))
     near = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-    table = spark.createDataFrame(rows, "doc long, comp long, grp long, n long, tokens array<long>")
-    for bound in (jaccard.ASKING, 3):
-        monkeypatch.setattr(jaccard, "ASKING", bound)
+    table = spark.createDataFrame(rows, "doc long, comp long, n long, tokens array<long>")
+    known = classes(range(len(sets)), near)
+    for group, asking in ((jaccard.GROUP_TOKENS, jaccard.ASKING), (1, 3)):  # then every set is a group, and all links come from asking
+        monkeypatch.setattr(jaccard, "GROUP_TOKENS", group)
+        monkeypatch.setattr(jaccard, "ASKING", asking)
         links = [tuple(r) for r in jaccard.matrix_links(table, 80, True).collect()]
-        across = [(a, b) for a, b in links if rows[a][2] != rows[b][2]]
-        assert len(near) > 100 and len(across) > 20 and classes(range(len(sets)), links) == classes(range(len(sets)), near)
+        assert len(near) > 100 and len(links) > 20 and classes(range(len(sets)), links) == known
         first = [tuple(r) for r in jaccard.matrix_links(table, 80, False).collect()]
-        known = classes(range(len(sets)), near)
         assert first and all(known[a] == known[b] for a, b in first)
 
 
