@@ -68,8 +68,12 @@ WITH docs AS (
     list_transform({common}, lambda c: len(list_filter(w, lambda x: x = c))::DOUBLE) AS found FROM cut{len(steps)}
 ), full_ AS (
   SELECT *, list_append(found, n_words - coalesce(list_sum(found), 0)) AS commons FROM counted
+), whole AS (
+  SELECT {sums("classes", len(rules.CLASSES) + 2)} AS c, {sums("commons", len(rules.COMMON_WORDS) + 1)} AS m FROM full_
+), own AS (
+  SELECT lang, {sums("classes", len(rules.CLASSES) + 2)} AS c, {sums("commons", len(rules.COMMON_WORDS) + 1)} AS m, sum(n_words) AS n FROM full_ GROUP BY lang
 ), refs AS (
-  SELECT lang, {sums("classes", len(rules.CLASSES) + 2)} AS c, {sums("commons", len(rules.COMMON_WORDS) + 1)} AS m FROM full_ GROUP BY lang
+  SELECT lang, CASE WHEN n >= {rules.LEAST_REFERENCE} THEN own.c ELSE whole.c END AS c, CASE WHEN n >= {rules.LEAST_REFERENCE} THEN own.m ELSE whole.m END AS m FROM own, whole
 ), shared AS (
   SELECT f.*, {shares("classes")} AS p1, {shares("c")} AS q1, {shares("commons")} AS p2, {shares("m")} AS q2, coalesce(n_repeat_words, 0) AS reps FROM full_ f JOIN refs USING (lang) LEFT JOIN covered USING (doc_id)
 ), measured AS (

@@ -155,6 +155,20 @@ def test_rules(docs_of, edge, none, prose):
     assert [r.doc_id for r in rules.apply_rules(odd).where("not kept and not base_failed").collect()] == [16]
 
 
+def test_rules_reject_by_common_words_alone_and_hold_rare_languages_against_all(docs_of, monkeypatch):
+    monkeypatch.setattr(rules, "LEAST_REFERENCE", 1000)
+    english = lambda i: " ".join(["the cat of", f"n{i}", "and a dog to see that", f"w{i}", "is in it for us with", f"v{i}", "them"] * 8)
+    german = lambda i: " ".join(["der hund und", f"n{i}", "die katze von dem haus ist", f"w{i}", "nicht mit das", f"v{i}", "zu den"] * 8)
+    junk = " ".join(f"brelt{c}{d}ing quonder{d}{c}" for c in "abcdefghij" for d in "klmnop")
+    texts = [*map(english, range(30)), *map(german, range(30)), german(99), junk, junk + " !!", english(5)]
+    langs = ["en"] * 30 + ["de"] * 30 + ["en", "en", "xx", "yy"]
+    monkeypatch.setattr(rules, "MOST_CLASS", 2.0)  # common words alone
+    got = {r.doc_id: r for r in rules.apply_rules(docs_of([t.replace("  ", " ") + f" t{i}" for i, t in enumerate(texts)], langs=langs)).collect()}
+    odd = {i for i, r in got.items() if r.n_words >= rules.LEAST_WORDS and r.common_distance > rules.MOST_COMMON}
+    assert {60, 61} <= odd and not odd & set(range(60))
+    assert got[62].common_distance > 0.2 and abs(got[62].common_distance - got[63].common_distance) > 0.05  # not held against itself
+
+
 def test_language_model(spark, docs_of, edge, none, prose):
     texts = [*prose, None, "", "unseen zzz"]
     got = {r.doc_id: r for r in lm.score_texts(docs_of(texts)).collect()}
@@ -191,6 +205,8 @@ def test_attention_is_causal_normalised_and_has_right_gradients():
     x = rng.integers(0, 50, (3, 32))
     total = sum(10 ** m.log10(x, np.full_like(x, t)) for t in range(50))
     assert np.allclose(total, 1, atol=1e-5)
+    some = np.array([0, 5, 33, 95])
+    assert np.allclose(m.log10(x, x, some), m.log10(x, x)[some])
     later = x.copy()
     later[:, 20:] = 7
     assert np.allclose(m.forward(x)[-1][:, :20], m.forward(later)[-1][:, :20])
@@ -208,6 +224,49 @@ def test_attention_is_causal_normalised_and_has_right_gradients():
         assert math.isclose((up - down) / 2e-5, grads[name][at], rel_tol=1e-3, abs_tol=1e-7)
 
 
+def test_spelling_is_a_distribution():
+    rng = np.random.default_rng(3)
+    ends = rng.random(lm.VOCABULARY) < 0.5
+    ends[lm.START] = True
+    x, y = rng.integers(0, 300, (40, 32)), rng.integers(0, 300, (40, 32))
+    scored = rng.random((40, 32)) < 0.8
+    spelling = lm.Spelling(*lm.spelling_keys(x, y, scored, ends), ends)
+    every = np.arange(lm.VOCABULARY)
+    for last in (lm.START, int(np.flatnonzero(~ends[:300])[0]), int(np.flatnonzero(ends)[0])):
+        assert math.isclose(spelling.share(np.full(lm.VOCABULARY, last), every).sum(), 1, rel_tol=1e-6)
+    last, after = int(np.flatnonzero(~ends[:300])[3]), 17
+    own = scored & (x == last)
+    go_on = ((y[scored & ~ends[x]] == after).sum() + 0.1) / ((scored & ~ends[x]).sum() + 0.1 * lm.VOCABULARY)
+    assert math.isclose(spelling.share(np.array([last]), np.array([after]))[0], ((own & (y == after)).sum() + lm.SPELLING_WEIGHT * go_on) / (own.sum() + lm.SPELLING_WEIGHT), rel_tol=1e-6)
+
+
+def test_scores_equal_a_direct_computation(docs_of, prose, monkeypatch):
+    """Window by window, place by place, with ``forward``; the pairs that Spark counts are all that there are."""
+    models, scorer = [], lm._scorer
+    monkeypatch.setattr(lm, "_scorer", lambda model, *a: models.append(model) or scorer(model, *a))
+    got = {r.doc_id: r.score for r in lm.score_texts(docs_of(prose)).collect()}
+    m, whole = models[0], encoder("word_bpe_49k.json")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    pairs = collections.Counter()
+    for i, t in enumerate(prose):
+        ids = [*whole(t.translate(low)), lm.END]
+        last = [lm.START, *ids[:-1]]
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            pairs.update((a, b) for a, b in zip(last, ids, strict=True) if not m.spelling.ends[a])
+        if i >= 12:
+            continue
+        total, done, step = 0.0, 0, lm.WINDOW - lm.OVERLAP
+        while done < len(ids):
+            first = 0 if done == 0 else done - lm.OVERLAP
+            window = np.array([last[first : first + lm.WINDOW]])
+            weights = m.forward(window)[-1][0]
+            for k in range(done - first, window.shape[1]):
+                total += math.log10(float(weights[k] @ m.shares(window[0, k : k + 1], np.array([ids[first + k]]))[0]))
+            done = first + window.shape[1]
+        assert step > 0 and math.isclose(got[i], total, rel_tol=1e-4)
+    assert len(m.spelling.keys) - 1 == len(pairs) and m.spelling.counts.sum() == sum(pairs.values())
+
+
 def test_model_beats_subword_shares():
     rng = np.random.default_rng(1)
     follow = rng.permutation(200)
@@ -221,7 +280,7 @@ def test_model_beats_subword_shares():
     counts = np.bincount(ids, minlength=lm.VOCABULARY).astype(float)
     m = lm.train_model(ids, offsets, counts)
     x, y, _, scored = lm.windows(ids, offsets)
-    assert m.log10(x, y)[scored].mean() > np.log10((counts + 0.1) / (counts.sum() + 0.1 * lm.VOCABULARY))[y[scored]].mean() + 0.1
+    assert m.log10(x, y)[scored.ravel()].mean() > np.log10((counts + 0.1) / (counts.sum() + 0.1 * lm.VOCABULARY))[y[scored]].mean() + 0.1
 
 
 def test_model_counts_all_training_texts(docs_of, prose, monkeypatch):
