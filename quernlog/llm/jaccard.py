@@ -41,12 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, binary_parts, bounded_batches, encode_slices, flat_text, mixed, ranges, spread_join, stored, text_chunks, tidied, word_slices
+from .common import BROADCAST_ROWS, binary_parts, bounded_batches, encode_slices, flat_text, mixed, ranges, release_memory, spread_join, stored, text_chunks, tidied, word_slices
 from .components import connected_components
 from .embeddings import joined
 
 #: Entries that one bucket of the prune is meant to hold; entries that a task deals at a time.
-BUCKET_ENTRIES, DEAL_ENTRIES = 1_000_000, 500_000
+BUCKET_ENTRIES, DEAL_ENTRIES = 1_000_000, 200_000
 #: Tokens that a group is meant to hold; sets that ask a group at a time; salts of a lookup.
 GROUP_TOKENS, ASKING, SALTS = 100_000, 64, 8
 #: Tokens whose sets a file of the matrix' tables is meant to hold, and the fewest files.
@@ -235,6 +235,7 @@ def _counted(table: pa.Table) -> pa.Table:
         n = np.bincount(o[hit], minlength=len(d))
         docs.append(d[n > 0])
         counts.append(n[n > 0])
+    release_memory()
     return pa.table({"doc": pa.array(np.concatenate(docs), pa.int64()), "hits": pa.array(np.concatenate(counts), pa.int64())})
 
 
@@ -375,6 +376,7 @@ def _built(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 [pa.array([table.column("grp")[0].as_py()], pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([raw], pa.binary()), pa.array([group.union.tobytes()], pa.binary()), pa.array([la], pa.list_(pa.int64())), pa.array([lb], pa.list_(pa.int64()))],
                 names=["grp", "sets", "x", "u", "la", "lb"],
             )
+        release_memory()
 
     return build
 
@@ -416,6 +418,7 @@ def _opened(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 la, lb = _connected(np.concatenate([one.docs, two.docs]), labels)
                 if len(la):
                     yield pa.RecordBatch.from_arrays([pa.array(la), pa.array(lb)], names=["a", "b"])
+        release_memory()
 
     return open_
 

@@ -95,9 +95,9 @@ def pack_lengths(lengths: np.ndarray, size: int, linear: float, quadratic: float
     return pieces, sequence + len(rooms)
 
 
-def packer(path: str, size: int, end_id: int, linear: float, quadratic: float, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def packer(path: str, size: int, end_id: int, linear: float, quadratic: float, block_tokens: int, remembered: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = text_tokenizer(path, space_led=True, remembered=500_000)
+        tokenizer = text_tokenizer(path, space_led=True, remembered=remembered)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         used = 0
@@ -135,7 +135,7 @@ def packer(path: str, size: int, end_id: int, linear: float, quadratic: float, b
     return pack
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 4_000_000) -> DataFrame:
-    """Pieces of all ``docs`` (doc_id, text) in sequences of ``size`` ids; see the module for what they hold."""
+def pack_documents(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 4_000_000, remembered: int = 500_000) -> DataFrame:
+    """Pieces of all ``docs`` (doc_id, text) in sequences of ``size`` ids; see the module for what they hold.  A worker holds a block and the ids of ``remembered`` pieces of text, which bounds its memory."""
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(packer(path or tokenizer_path("byte_bpe_50k.json"), size, end_id, linear, quadratic, block_tokens), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(packer(path or tokenizer_path("byte_bpe_50k.json"), size, end_id, linear, quadratic, block_tokens, remembered), SCHEMA)
