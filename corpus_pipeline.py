@@ -38,7 +38,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 ids."""
-    return pack_documents(docs)
+    # Executors hold what the earlier stages left, too, so workers have less memory than they might.
+    return pack_documents(docs, block_tokens=1_500_000, remembered=250_000)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
