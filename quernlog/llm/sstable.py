@@ -214,12 +214,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tie = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(_writer(tokenizer or tokenizer_path("word_bpe_49k.json"), end_id), "value binary").select(F.col("value").cast("string")).write.text(path)
+    ordered.mapInArrow(_writer(tokenizer or tokenizer_path("word_bpe_49k.json"), end_id), "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 0).text(path)
 
 
-def _shards(spark: SparkSession, path: str) -> DataFrame:
+def _shards(spark: SparkSession, *paths: str) -> DataFrame:
     number = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select(number.alias("shard"), "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths)).where("length > 0").select(number.alias("shard"), "content", "path")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -249,8 +249,22 @@ def _read_batch(shard: int, place: int, rows: list[tuple[int | None, np.ndarray]
     return pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), pa.array(np.arange(place, place + len(rows))), pa.array([r[0] for r in rows], pa.int64()), ids], names=["shard", "place", "doc_id", "ids"])
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """The documents of some ids (a list that the caller holds): Bloom filter, then binary search in each shard."""
+def key_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """One row a shard: path, first and last key.  Found in one pass over the shards; keep it as a table beside them for ``lookup``."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                reader = ShardReader(content.as_buffer())
+                _, at, length, _ = reader.index[-1]
+                last = max(key for key, _, _ in reader._entries(at, length))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([reader.index[0][0]], pa.binary()), pa.array([last], pa.binary())], names=["path", "first", "last"])
+
+    return _shards(spark, path).mapInArrow(ends, "path string, first binary, last binary")
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None], ranges: DataFrame | None = None) -> DataFrame:
+    """The documents of some ids (a list that the caller holds): Bloom filter, then binary search in each shard.  With ``ranges`` (see ``key_ranges``) only shards are read whose keys enclose an asked one; the driver gets their paths."""
     keys = [key_bytes(i) for i in dict.fromkeys(doc_ids)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +275,13 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFra
                 if rows:
                     yield _read_batch(shard, 0, rows)
 
-    return _shards(spark, path).mapInArrow(search, "shard long, place long, doc_id long, ids array<int>").select("doc_id", "ids")
+    paths = [path]
+    if ranges is not None:
+        asked = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
+        paths = sorted(r.path for r in ranges.join(F.broadcast(asked), F.col("key").between(F.col("first"), F.col("last")), "left_semi").select("path").collect())
+        if not paths:
+            return spark.createDataFrame([], "doc_id long, ids array<int>")
+    return _shards(spark, *paths).mapInArrow(search, "shard long, place long, doc_id long, ids array<int>").select("doc_id", "ids")
 
 
 def digest_shards(spark: SparkSession, path: str) -> DataFrame:

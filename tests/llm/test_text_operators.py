@@ -323,8 +323,13 @@ def test_shards(spark, tmp_path, edge, none, docs_of, prose):
     assert [r.doc_id for r in back] == [r.doc_id for r in rows] and all(r.ids == i.tolist() for r, i in zip(back, ids, strict=True))
     found = sstable.lookup(spark, path, [10, 997, -5, None, 3]).collect()
     assert collections.Counter(r.doc_id for r in found) == collections.Counter([10, 10, 997, None, 3])
+    ranges = sstable.key_ranges(spark, path)
+    near = sstable.lookup(spark, path, [10, 997, -5, None, 3], ranges)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in near.collect()) == sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in found)
+    assert len(sstable.lookup(spark, path, [997], ranges).inputFiles()) == 1 < ranges.count()
+    assert sstable.lookup(spark, path, [10**12], ranges).count() == 0 and sstable.lookup(spark, path, [], ranges).count() == 0
     sstable.write_shards(none, f"{path}0")
-    assert sstable.digest_shards(spark, f"{path}0").count() == 0
+    assert sstable.digest_shards(spark, f"{path}0").count() == 0 and sstable.key_ranges(spark, f"{path}0").count() == 0
 
 
 def test_shard_search_and_damage():
