@@ -153,7 +153,8 @@ _LOADED: dict[tuple[str, bool], TextTokenizer] = {}
 
 
 def text_tokenizer(path: str, space_led: bool, remembered: int = 1_200_000) -> TextTokenizer:
-    """The tokenizer of this worker process, with what it remembers from earlier tasks."""
+    """The tokenizer of this worker process, with what it remembers from earlier tasks; how much it may from now on is the caller's, whoever loaded it."""
     if (path, space_led) not in _LOADED:
         _LOADED[path, space_led] = TextTokenizer(path, space_led, remembered)
+    _LOADED[path, space_led].remembered = remembered
     return _LOADED[path, space_led]

@@ -41,6 +41,12 @@ def test_ids_equal_those_of_the_whole_text(name, space_led):
     check()
 
 
+def test_a_tokenizer_remembers_what_the_caller_at_hand_allows():
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    for most in (200, 5_000, 300):
+        assert tokens.text_tokenizer(path, space_led=False, remembered=most).remembered == most
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 300), min_size=1, max_size=80))
 def test_packing_cuts_and_fills(lengths):
