@@ -314,6 +314,24 @@ def test_model_learns_from_windows_of_few_long_texts(docs_of, monkeypatch, ids,
     assert len(trained) == 1 and trained[0][0] == trained[0][1] and least <= trained[0][0] <= most
 
 
+def test_weights_are_fitted_to_all_training_texts(spark, prose, monkeypatch):
+    """Each id is a target once in the pass that gives the weights, whatever the sample; the mean counts each task by its ids."""
+    ids = [np.array([*encoder("word_bpe_49k.json")(t), lm.END]) for t in prose]
+    rows = [(i, i, x.astype("<u2").tobytes()) for i, x in enumerate(ids)]
+    texts = spark.createDataFrame(rows, "doc_id long, key long, ids binary").repartition(3)
+    monkeypatch.setattr(lm, "FIT_IDS", 100)
+    refined, passes = lm.refined, []
+    monkeypatch.setattr(lm, "refined", lambda texts, model, seed: passes.append((dict(model.p), refined(texts, model, seed))) or passes[0][1])
+    counts = np.bincount(np.concatenate(ids), minlength=lm.VOCABULARY).astype(float)
+    model = lm.fitted(texts, counts, lm.word_ends(tokens.tokenizer_path("word_bpe_49k.json")))
+    start, (weights, learned) = passes[0]
+    assert learned == sum(map(len, ids)) and all((model.p[n] == weights[n]).all() for n in weights)
+    x, y, _, scored = lm.windows(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(i) for i in ids])]))
+    after = model.log10(x, y)[scored.ravel()].mean()
+    model.p = start
+    assert after > model.log10(x, y)[scored.ravel()].mean()
+
+
 def test_shards(spark, tmp_path, edge, none, docs_of, prose):
     whole = encoder("word_bpe_49k.json")
     docs = edge.unionByName(docs_of(prose, [1000 - 3 * i for i in range(len(prose))]))
