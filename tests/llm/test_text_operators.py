@@ -314,6 +314,16 @@ def test_model_learns_from_windows_of_few_long_texts(docs_of, monkeypatch, ids,
     assert len(trained) == 1 and trained[0][0] == trained[0][1] and least <= trained[0][0] <= most
 
 
+def test_spelling_finds_every_count():
+    rng = np.random.default_rng(9)
+    keys = np.unique(rng.integers(0, lm.VOCABULARY**2, 5000))
+    counts = rng.integers(1, 100, len(keys))
+    spelling = lm.Spelling(keys, counts, np.zeros(lm.VOCABULARY, bool))
+    known = dict(zip(keys[keys // lm.VOCABULARY != lm.START].tolist(), counts[keys // lm.VOCABULARY != lm.START].tolist(), strict=True))
+    asked = np.concatenate([keys, rng.integers(0, lm.VOCABULARY**2, 5000)])
+    assert spelling.count(asked).tolist() == [known.get(k, 0) for k in asked.tolist()]
+
+
 def test_weights_are_fitted_to_all_training_texts(spark, prose, monkeypatch):
     """Each id is a target once in the pass that gives the weights, whatever the sample; the mean counts each task by its ids."""
     ids = [np.array([*encoder("word_bpe_49k.json")(t), lm.END]) for t in prose]
@@ -322,8 +332,7 @@ def test_weights_are_fitted_to_all_training_texts(spark, prose, monkeypatch):
     monkeypatch.setattr(lm, "FIT_IDS", 100)
     refined, passes = lm.refined, []
     monkeypatch.setattr(lm, "refined", lambda texts, model, seed: passes.append((dict(model.p), refined(texts, model, seed))) or passes[0][1])
-    counts = np.bincount(np.concatenate(ids), minlength=lm.VOCABULARY).astype(float)
-    model = lm.fitted(texts, counts, lm.word_ends(tokens.tokenizer_path("word_bpe_49k.json")))
+    model = lm.fitted(texts, lm.word_ends(tokens.tokenizer_path("word_bpe_49k.json")))
     start, (weights, learned) = passes[0]
     assert learned == sum(map(len, ids)) and all((model.p[n] == weights[n]).all() for n in weights)
     x, y, _, scored = lm.windows(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(i) for i in ids])]))
