@@ -446,8 +446,9 @@ def matrix_links(sets: DataFrame, percent: int, every: bool) -> DataFrame:
     flat = sized.select(*own, F.explode("tokens").alias("t"))
     shared = stored(flat.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("t", "df", F.col("df").alias("w")), "shared", files)
     found = spread_join(flat, shared, ["t"], shared.count(), total, "w").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-    found = stored(_parted(found.withColumn("family", F.array_min(F.transform("s", lambda x: F.xxhash64(x["t"], F.lit(3)))))), "found", files)
-    sets = sets.select("doc", "comp", "n", "tokens").join(found.select("doc", "grp"), "doc")
+    found = stored(found.withColumn("family", F.array_min(F.transform("s", lambda x: F.xxhash64(x["t"], F.lit(3))))), "found", files)
+    n_found, found = found.count(), _parted(found)
+    sets = sets.select("doc", "comp", "n", "tokens").join(_small(found.select("doc", "grp"), n_found), "doc")
     groups = stored(token_groups(sets, percent), "groups", files)
     # Tokens that no other component holds come first, and find nothing.
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
@@ -463,7 +464,7 @@ def matrix_links(sets: DataFrame, percent: int, every: bool) -> DataFrame:
     pairs = stored(pairs.where("other <> grp").select("doc", "other").distinct(), "pairs", files)
     many = stored(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") > ASKING).select("other", F.ceil(F.col("w") / ASKING).alias("blocks")), "many", LEAST_FILES)
     dealt = pairs.join(_small(many, many.count()), "other", "left").select("doc", F.col("other").alias("grp"), F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).alias("blk"))
-    asking = dealt.join(sets.select("doc", "comp", "n", "tokens"), "doc").repartition("grp", "blk").sortWithinPartitions("grp", "blk").select("grp", "blk", "doc", "comp", "n", "tokens")
+    asking = _small(dealt, pairs.count()).join(sets.select("doc", "comp", "n", "tokens"), "doc").repartition("grp", "blk").sortWithinPartitions("grp", "blk").select("grp", "blk", "doc", "comp", "n", "tokens")
     asking = asking.mapInArrow(_asked, "grp long, asking long, q binary")
     fits = asking.join(groups.select("grp", "u"), "grp").mapInArrow(_bounded(percent), "grp long, asking long, q binary")
     opened = fits.join(groups.select("grp", "sets", "x", "u"), "grp").mapInArrow(_opened(percent), "a long, b long")
@@ -477,16 +478,20 @@ def _apart(sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
     files = max(LEAST_FILES, total // FILE_TOKENS)
     if links is not None:
         groups = connected_components(links)
-        sets = sets.drop("comp").join(_small(groups.withColumnRenamed("node", "doc"), groups.count()), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-        sets = stored(sets, "grouped", files)
+        n_nodes = groups.count()
+        sets = sets.drop("comp").join(_small(groups.withColumnRenamed("node", "doc"), n_nodes), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        if n_nodes > BROADCAST_ROWS:
+            sets = stored(sets, "grouped", files)
     buckets = max(32, int(total) // BUCKET_ENTRIES + 1)
     foreign = _repeats(sets.select("doc", "comp", "tokens").mapInArrow(_set_chunks_packed(buckets), _PACKED))
-    return stored(sets.join(foreign, "doc").where(F.col("hits") * 100 >= F.col("n") * percent).drop("hits"), "apart", files)
+    # Which sets stay is told without their tokens.
+    kept = stored(sets.select("doc", "n").join(foreign, "doc").where(F.col("hits") * 100 >= F.col("n") * percent).select("doc", "n").distinct(), "kept", files)
+    return stored(sets.join(_small(kept, kept.count()), ["doc", "n"], "left_semi"), "apart", files)
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect ``sets`` (doc, n, family, tokens) wherever they are similar."""
-    sets = stored(_parted(sets).withColumn("comp", F.col("doc")), "parted")
+    sets = _parted(sets).withColumn("comp", F.col("doc"))
     inside = token_groups(sets, percent).select(F.explode(F.arrays_zip("la", "lb")).alias("z")).select(F.col("z.la").alias("a"), F.col("z.lb").alias("b"))
     links = stored(inside, "inside")
     for every in (False, True):

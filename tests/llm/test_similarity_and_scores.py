@@ -138,6 +138,27 @@ def test_spread_join_with_hot_keys(spark, monkeypatch):
         assert got.count() == n and got.where("m is not null").count() == 22_500 and got.columns == ["k", "id", "m"]
 
 
+def test_sets_are_not_moved_or_written_again(spark, monkeypatch):
+    """What a matrix looks up is worked out once, and sets get their components and drop out without a copy of all."""
+    rng = np.random.default_rng(4)
+    core = rng.integers(1, 1 << 60, 40)
+    rows = [(i, i, 44, i, sorted({*core.tolist(), *rng.integers(1, 1 << 60, 4).tolist()})) for i in range(12)]
+    table = spark.createDataFrame([(a, c, n, f, t) for a, c, n, f, t in rows], "doc long, comp long, n long, family long, tokens array<long>")
+    plans, stored = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name, *a: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or stored(df, name, *a))
+    linked = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
+    apart = jaccard._apart(table, linked, 80)
+    assert {(r.doc, r.comp) for r in apart.collect()} == {(i, i - 1 if i in (1, 3) else i) for i in range(12)}
+    found = jaccard.matrix_links(apart, 80, True)
+    parent = list(range(12))
+    for a, b in [(0, 1), (2, 3), *[(r.a, r.b) for r in found.collect()]]:
+        x, y = parent[a], parent[b]
+        parent = [min(x, y) if p in (x, y) else p for p in parent]
+    assert set(parent) == {0}
+    assert "found" in {n for n, _ in plans} and "grouped" not in {n for n, _ in plans}
+    assert all("collect_list" not in p for n, p in plans if n != "found")
+
+
 def test_scratch_tables_are_removed(spark, docs_of, prose):
     left = len(common._LEFT)
     assert jaccard.similar_documents(docs_of(prose)).count() == len(prose) and len(common._LEFT) == left + 1
