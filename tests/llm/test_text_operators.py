@@ -324,6 +324,51 @@ def test_spelling_finds_every_count():
     assert spelling.count(asked).tolist() == [known.get(k, 0) for k in asked.tolist()]
 
 
+def test_model_does_nothing_twice(monkeypatch):
+    """Spelling is asked once for each distinct pair, later windows work out no overlap, and few windows at once give what all give."""
+    rng = np.random.default_rng(4)
+    ends = np.ones(lm.VOCABULARY, bool)
+    ends[:40] = False
+    x, y = rng.integers(0, 60, (70, 32)), rng.integers(0, 60, (70, 32))
+    scored = rng.random((70, 32)) < 0.8
+    spelling = lm.Spelling(*lm.spelling_keys(x, y, scored, ends), ends)
+    asked, count = [], lm.Spelling.count
+    monkeypatch.setattr(lm.Spelling, "count", lambda self, keys: asked.extend(keys.tolist()) or count(self, keys))
+    shares = spelling.share(x.ravel(), y.ravel())
+    assert len(asked) == len(set(asked)) == len({(a, b) for a, b in zip(x.ravel().tolist(), y.ravel().tolist(), strict=True) if a < 40})
+    assert shares.tolist() == [spelling.share(np.array([a]), np.array([b]))[0] for a, b in zip(x.ravel(), y.ravel(), strict=True)]
+    m = lm.Attention(rng.normal(size=(lm.VOCABULARY, lm.WIDTH)), rng.dirichlet(np.ones(lm.VOCABULARY), lm.PARTS), rng, spelling)
+    whole = m.log10(x, y).reshape(x.shape)
+    assert np.allclose(m.log10(x, y, None, lm.OVERLAP, m.spelt(x, y)).reshape(70, -1), whole[:, lm.OVERLAP :], atol=1e-5)
+    late = np.flatnonzero(scored[:, lm.OVERLAP :])
+    for some in (late, late[::5]):
+        assert np.allclose(m.log10(x, y, some, lm.OVERLAP), whole[:, lm.OVERLAP :].ravel()[some], atol=1e-5)
+    monkeypatch.setattr(lm, "TOGETHER", 70)
+    once = m.step(x, y, scored)
+    monkeypatch.setattr(lm, "TOGETHER", 16)
+    assert all(np.allclose(g, once[name], atol=1e-6) for name, g in m.step(x, y, scored, m.spelt(x, y)).items())
+
+
+def test_pairs_are_counted_in_one_pass(prose, monkeypatch):
+    """All counts come from one pass over the ids, whose rows together hold every pair."""
+    ids = [np.array([*encoder("word_bpe_49k.json")(t), lm.END]) for t in prose]
+    batches = pa.table({"ids": pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary())}).to_batches(max_chunksize=50)
+    direct = collections.Counter((a, b) for i in ids for a, b in zip([lm.START, *i[:-1].tolist()], i.tolist(), strict=True))
+    for held in (1, 10**6):
+        monkeypatch.setattr(lm, "PAIRS_HELD", held)
+        rows = list(lm._pair_rows(lm._paired(iter(batches))))
+        assert (len(rows) > 1) == (held == 1 and len(batches) > 1)
+        got = collections.Counter()
+        for keys, n in rows:
+            got.update({(int(k) // lm.VOCABULARY, int(k) % lm.VOCABULARY): int(c) for k, c in zip(keys, n, strict=True)})
+        assert got == direct
+    keys, n = rows[0]
+    assert lm._totals(lm.follow_counts(keys, n))[lm.START] == len(ids)
+    cluster = np.arange(lm.VOCABULARY) % lm.PARTS
+    parts = lm.part_counts(keys, n, cluster).reshape(lm.VOCABULARY, lm.PARTS)
+    assert parts.sum() == sum(map(len, ids)) and parts[lm.END, 3] == sum(c for (a, b), c in direct.items() if b == lm.END and a % lm.PARTS == 3)
+
+
 def test_weights_are_fitted_to_all_training_texts(spark, prose, monkeypatch):
     """Each id is a target once in the pass that gives the weights, whatever the sample; the mean counts each task by its ids."""
     ids = [np.array([*encoder("word_bpe_49k.json")(t), lm.END]) for t in prose]
