@@ -362,6 +362,7 @@ def test_pairs_are_counted_in_one_pass(prose, monkeypatch):
         for keys, n in rows:
             got.update({(int(k) // lm.VOCABULARY, int(k) % lm.VOCABULARY): int(c) for k, c in zip(keys, n, strict=True)})
         assert got == direct
+        assert all(len(k.as_py()) == 4 * len(keys) and len(c.as_py()) <= 2 * len(keys) for (keys, _), b in zip(rows, lm._paired(iter(batches)), strict=True) for k, c in zip(b.column("k"), b.column("n"), strict=True))
     keys, n = rows[0]
     assert lm._totals(lm.follow_counts(keys, n))[lm.START] == len(ids)
     cluster = np.arange(lm.VOCABULARY) % lm.PARTS
