@@ -1,9 +1,12 @@
 """Operators on change logs and runs, against plain Python."""
 
+import glob
 import hashlib
 import random
+import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +132,65 @@ def test_rollover_in_batches_and_of_large_records(spark):
     assert [r.file for r in R.rollover(log, 400).orderBy("seq").collect()] == [i // 3 for i in range(30_000)]
 
 
+def test_log_files_hold_what_rollover_cuts(spark, tmp_path):
+    rows, log = random_log(spark, 700)
+    sharded = V.change_log(log, 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for most in (1, 120, 1000, 10**6):
+            want = {}
+            for r in R.rollover(sharded, most).orderBy("seq").collect():
+                want.setdefault((r.p, r.file), []).append(r.seq)
+            files = R.log_files(sharded, most)
+            got = {(r.p, r.file): [(k.decode(), v.decode(), t, kind) for _, kind, k, v, t in codec.decode_all(bytes(r.content))] for r in files.collect()}
+            assert got == {f: [(rows[i][0], rows[i][1], rows[i][2], rows[i][4]) for i in seqs] for f, seqs in want.items()}
+            path = f"{tmp_path}/logs{most}"
+            codec.write_logs(files, f"file://{path}")
+            back = codec.read_logs(spark, f"file://{path}").orderBy("p", "file", "offset").collect()
+            assert [(r.p, r.file, r.key.decode(), r.ts) for r in back] == [(*f, rows[i][0], rows[i][2]) for f in sorted(want) for i in want[f]]
+            assert len(glob.glob(f"{path}/part-*")) <= 4  # tasks, not log files
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert R.log_files(sharded.limit(0), 100).count() == 0
+    odd = spark.createDataFrame([(None, "v", 1, 0, 0), ("k", None, 2, 1, 0)], LOG)
+    assert [len(r.content) for r in R.log_files(V.change_log(odd, 3), 100).collect()] == [9]
+    with pytest.raises(Exception, match="no log record can hold"):
+        R.log_files(V.change_log(odd.withColumn("value", F.lit("v" * 65536)), 3), 100).collect()
+
+
+def test_log_recovery_does_not_write_a_file_for_each_log(spark, tmp_path, monkeypatch):
+    from quernlog.plans import events
+    from quernlog.sources import store
+
+    n = 12_000
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).cast("timestamp_ntz").alias("ts"), (F.col("id") % 1000).alias("user_id"),
+        F.when(F.col("id") % 7 == 0, "error").otherwise("view").alias("event_type"), F.lit(1.0).alias("value"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("props"),
+    )
+    rows.write.parquet(f"file://{tmp_path}/events.parquet")
+    monkeypatch.setattr(store, "scratch_folder", lambda spark, kind: f"file://{tmp_path}/{kind}")
+    got = {r.key: r.value for r in events.queries()["log_recovery"](spark, f"file://{tmp_path}").collect()}
+    assert got == {str(i % 1000): f"p{i}" for i in range(n - 1000, n) if i % 7}
+    assert len(glob.glob(f"{tmp_path}/logs/**/part-*", recursive=True)) <= 4  # more than 70 log files
+
+
+def test_encoding_times_of_every_length(spark):
+    times = [t for b in range(63) for t in (2**b - 1, 2**b)]
+    df = spark.createDataFrame([(t,) for t in times], "ts long").select("ts", codec.encode(F.lit(1), F.lit("k"), F.lit("v"), F.col("ts")).alias("r"))
+    assert [list(codec.decode_all(bytes(r.r))) for r in df.collect()] == [[(0, 1, b"k", b"v", t)] for t in times]
+
+
+def test_decoding_a_few_bytes_at_a_time(monkeypatch):
+    record = lambda k: struct.pack("<HHHB", 1, 2, 8, 0) + k + b"vv" + b"\x05"
+    files = [record(b"a") * 3, b"", record(b"b") * 40, record(b"c"), b"\x01", record(b"d") * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(files))), pa.array(files, pa.binary())], names=["file", "content"])
+    want = [(f, at, k) for f, raw in enumerate(files) for at, _, k, _, _ in codec.decode_all(raw)]
+    for most in (1, 30, 500, 10**6):
+        monkeypatch.setattr(codec, "_BATCH_BYTES", most)
+        got = [(r["file"], r["offset"], r["key"]) for b in codec._decode(iter([batch])) for r in b.to_pylist()]
+        assert got == want
+
+
 def test_decoding_many_files_and_torn_ones(spark):
     rng = random.Random(2)
     record = lambda k, v, t: bytes([len(k) & 255, len(k) >> 8, len(v) & 255, len(v) >> 8, 8, 0, 0]) + k + v + varint(t)
